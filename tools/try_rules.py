@@ -1,0 +1,16 @@
+"""Scratch check: which rules fire on a list of texts read from stdin (id<TAB>text)."""
+import sys
+sys.path.insert(0, "/root/repo")
+from lureline.session import local_session
+from lureline.operators.normalize import normalize
+from lureline.operators.rules import scan, findings_table
+from pyspark.sql import functions as F
+spark = local_session()
+rows = [l.rstrip("\n").split("\t", 1) for l in sys.stdin if "\t" in l]
+df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "message_id long, want string, text string")
+sc = scan(normalize(df)).cache()
+out = {r.message_id: r.ids for r in findings_table(sc).groupBy("message_id").agg(F.array_join(F.collect_list("rule_id"), ",").alias("ids")).collect()}
+for i, (a, b) in enumerate(rows):
+    ids = out.get(i, "")
+    ok = (a in ids.split(",")) if a != "-" else ids == ""
+    print("ok  " if ok else "MISS", a, "|", ids, "|", b[:90])
