@@ -83,6 +83,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table of few splits. A table with enough splits is left where it is, without a shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def phrases(spark: SparkSession) -> DataFrame:
     rows = [(i, *p) for i, p in enumerate(PHRASES)]
     return spark.createDataFrame(rows, "k int, " + ", ".join(f"{c} string" for c in COLUMNS))
@@ -90,7 +96,7 @@ def phrases(spark: SparkSession) -> DataFrame:
 
 def message_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """message_id, text, lang, source and the claims; one row per document. The phrase table is constant, so it is broadcast."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.col("text").alias("body"), "lang", "source")
+    docs = spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("message_id"), F.col("text").alias("body"), "lang", "source")
     keyed = docs.withColumn("k", F.pmod("message_id", F.lit(len(PHRASES))).cast("int"))
     joined = keyed.join(F.broadcast(phrases(spark)), "k", "left")
     return joined.withColumn("text", F.concat_ws("\n", "body", "phrase")).drop("k", "body", "phrase")
