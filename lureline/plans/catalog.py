@@ -7,16 +7,190 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lureline.functions import text as t
+from lureline.functions.rows import lookup, settle
+from lureline.operators import bayes, links, rules, stages, verdict
 from lureline.operators import normalize as nz
-from lureline.operators import rules
 from lureline.plans import messages as m
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
 
-def c1_rule_scan(spark: SparkSession, d: str) -> DataFrame:
-    scanned = rules.scan(nz.normalize(m.message_view(spark, d)))
-    return rules.findings_table(scanned).select("message_id", "rule_id", "severity", "weight", "evidence")
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
 
 
-QUERIES: dict[str, Query] = {"c1_rule_scan": c1_rule_scan}
+def _normal(spark: SparkSession, d: str) -> DataFrame:
+    return nz.normalize(m.message_view(spark, d))
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    return rules.scan(_normal(spark, d))
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    model, fixed, rows = bayes.seed_model(spark)
+    return verdict.score(m.message_view(spark, d), model, fixed, rows)
+
+
+VERDICT = ("message_id", "finding_count", "primary_pattern", "rule_component", "url_component", "identity_component", "unicode_component", "conversation_component", "model_component", "abstained", "risk_score", "risk_band")
+
+
+@query
+def b_normalize(spark, d):
+    return _normal(spark, d).select("message_id", "normalized", "skeleton", F.array_join("transformations", "; ").alias("steps"))
+
+
+@query
+def b1_nfkc_exact(spark, d):
+    return nz.normalize(m.message_view(spark, d), exact=True).select("message_id", F.sha2("normalized", 256).alias("normal_hash"))
+
+
+@query
+def b9_unicode_signals(spark, d):
+    return m.message_view(spark, d).select("message_id", F.array_join(nz.unicode_signals(F.col("text")), "; ").alias("signals"))
+
+
+@query
+def b10_script_profile(spark, d):
+    out = nz.script_profile(m.message_view(spark, d))
+    return out.select("message_id", F.array_join("scripts", ",").alias("scripts"), "letter_count", F.round("recognized_ratio", 6).alias("recognized_ratio"))
+
+
+@query
+def b11_fold(spark, d):
+    folded = m.message_view(spark, d).select("message_id", t.fold_accents(F.col("text")).alias("folded"))
+    return folded.select("message_id", "folded", t.fold_german(F.col("folded")).alias("folded_de"))
+
+
+@query
+def b14_fingerprint(spark, d):
+    v = m.message_view(spark, d)
+    return v.select("message_id", t.fingerprint(F.col("text")).alias("input_sha256"), t.clip(F.col("text"), 220).alias("excerpt"), t.plain_urls(F.col("text")).alias("plain"))
+
+
+@query
+def c1_rule_scan(spark, d):
+    return rules.findings_table(_scanned(spark, d)).select("message_id", "rule_id", "severity", "weight", "evidence")
+
+
+@query
+def c3_findings_rollup(spark, d):
+    r = rules.rollup(F.col("findings"))
+    out = _scanned(spark, d).select("message_id", "findings")
+    return settle(out, **r).select("message_id", "rule_points", "finding_count", "has_critical", "primary_pattern", F.array_join("actions", " | ").alias("actions"))
+
+
+@query
+def c5_language_rules(spark, d):
+    long = rules.findings_table(_scanned(spark, d))
+    return long.where(F.col("rule_ord") >= len(rules.ENGLISH)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("messages"), F.max("weight").alias("weight"))
+
+
+@query
+def d_expected_rules(spark, d):
+    """Does each message meet the rule its phrase was written for, and do guarded phrases stay free of it?"""
+    v = m.message_view(spark, d).select("message_id", "expected_rule")
+    found = rules.findings_table(_scanned(spark, d)).select("message_id", "rule_id")
+    hit = v.join(found, (v.message_id == found.message_id) & (v.expected_rule == found.rule_id), "left_semi").select("message_id", F.lit(1).alias("hit"))
+    out = v.join(hit, "message_id", "left").groupBy(F.coalesce("expected_rule", F.lit("-")).alias("expected_rule"))
+    return out.agg(F.count(F.lit(1)).alias("messages"), F.count("hit").alias("met"))
+
+
+@query
+def e_entities(spark, d):
+    return links.entity_table(links.entities(_normal(spark, d)))
+
+
+@query
+def f_link_risk(spark, d):
+    linked = links.link_findings(links.entities(_normal(spark, d)))
+    x = linked.select("message_id", F.posexplode("link_findings").alias("i", "f"))
+    return x.select("message_id", (F.col("i") + 1).alias("pos"), "f.url", "f.scheme", "f.host", "f.domain", "f.suffix", "f.valid", F.array_join("f.signals", "; ").alias("signals"), "f.points")
+
+
+@query
+def f_page_links(spark, d):
+    x = m.read(spark, d, "pages").select("page_id", links.inspect_url(F.col("url")).alias("f"))
+    return x.select("page_id", "f.url", "f.host", "f.domain", "f.suffix", F.array_join("f.signals", "; ").alias("signals"), "f.points")
+
+
+@query
+def g3_brand_lookalikes(spark, d):
+    linked = links.link_findings(links.entities(_normal(spark, d)))
+    x = linked.select("message_id", F.explode("link_findings").alias("f")).select("message_id", F.col("f.domain").alias("domain"), F.explode("f.brands").alias("brand"))
+    return x.groupBy("domain", "brand").agg(F.countDistinct("message_id").alias("messages"))
+
+
+@query
+def h_email_identity(spark, d):
+    linked = links.link_findings(links.entities(_normal(spark, d)))
+    x = linked.select("message_id", F.posexplode("email_findings").alias("i", "f"))
+    return x.select("message_id", (F.col("i") + 1).alias("pos"), "f.email", "f.domain", F.array_join("f.signals", "; ").alias("signals"), "f.points")
+
+
+@query
+def i1_stage_tags(spark, d):
+    return stages.tag(m.turn_view(spark, d)).select("conv_id", "turn", F.array_join("stages", ",").alias("stages"))
+
+
+@query
+def i2_first_turns(spark, d):
+    return stages.first_turns(stages.tag(m.turn_view(spark, d)))
+
+
+@query
+def i4_escalation(spark, d):
+    return stages.conversations(stages.tag(m.turn_view(spark, d)))
+
+
+@query
+def i6_timeline(spark, d):
+    return stages.timeline(stages.tag(m.turn_view(spark, d)))
+
+
+@query
+def a4_turn_parse(spark, d):
+    x = _normal(spark, d).select("message_id", F.posexplode(stages.parsed_lines(F.col("normalized"))).alias("i", "p"))
+    return x.select("message_id", (F.col("i") + 1).alias("turn"), "p.ts", "p.sender", "p.body")
+
+
+def _labelled(spark, d):
+    docs, labels = m.spread(m.read(spark, d, "documents")), m.read(spark, d, "labels")
+    return docs.select("doc_id", "text").join(labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+
+
+@query
+def j2_train(spark, d):
+    lab = _labelled(spark, d)
+    counts = bayes.train(lab)
+    return bayes.weights(counts, bayes.totals(counts, lab))
+
+
+@query
+def j3_score(spark, d):
+    lab = _labelled(spark, d)
+    counts = bayes.train(lab)
+    whole = bayes.totals(counts, lab)
+    docs = nz.normalize(m.spread(m.read(spark, d, "documents").select("doc_id", "text")))
+    s = bayes.score(docs, "doc_id", bayes.weights(counts, whole), bayes.constants(whole))
+    return s.select("doc_id", "features", "delta", bayes.probability(F.col("delta")).alias("raw_probability"), bayes.probability(F.col("delta"), 2.4).alias("calibrated"))
+
+
+@query
+def k_verdict(spark, d):
+    return _verdicts(spark, d).select(*VERDICT)
+
+
+@query
+def k5_band_counts(spark, d):
+    return _verdicts(spark, d).groupBy("risk_band").agg(F.count(F.lit(1)).alias("messages"), F.sum("risk_score").alias("score_sum"), F.max("risk_score").alias("top_score"))
+
+
+@query
+def a9_result_export(spark, d):
+    v = _verdicts(spark, d)
+    doc = F.struct("message_id", "risk_score", "risk_band", "level", "primary_pattern")
+    return v.select("message_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("verdict"))

@@ -2,8 +2,70 @@
 
 from __future__ import annotations
 
+from lureline.functions.patterns import sql_text as q
+from lureline.operators import stages as st
+from lureline.operators.rules import ENGLISH
+from lureline.operators.verdict import LEVELS
+from lureline.functions import text as ft
+from twins import links_sql as ln
 from twins import rules_sql as r
+from twins import score_sql as s
+from twins import text_sql as t
+from twins.messages_sql import messages, pages, turns
 
 
 def sql() -> dict[str, str]:
-    return {"c1_rule_scan": f"WITH {r.all_ctes()} SELECT message_id, rule_id, severity, weight, evidence FROM findings"}
+    out = {}
+    msgs = messages()
+    normal = f"{msgs},\n{t.normal_ctes('messages')}"
+    steps = ", ".join(f"CASE WHEN {a} <> {b} THEN {q(n)} END" for a, b, n in (
+        ("o", "s1", "compatibility forms folded"), ("s1", "s2", "invisible characters removed"), ("s2", "s3", "defanged notation restored"),
+        ("s3", "s4", "look-alikes mapped"), ("s4", "s5", "spaced letters joined"), ("s5", "s6", "digit spellings decoded")))
+    out["b_normalize"] = f"WITH {normal} SELECT message_id, normalized, s4 AS skeleton, concat_ws('; ', {steps}) AS steps FROM n7"
+    hidden = f"length(text) - length({t.strip_invisible('text')})"
+    out["b9_unicode_signals"] = f"""WITH {msgs} SELECT message_id, concat_ws('; ', CASE WHEN {hidden} > 0 THEN 'invisible characters: ' || ({hidden}) END,
+      CASE WHEN regexp_matches(text, '\\p{{Latin}}') AND (regexp_matches(text, '\\p{{Cyrillic}}') OR regexp_matches(text, '\\p{{Greek}}')) THEN 'Latin mixed with Cyrillic or Greek' END,
+      CASE WHEN {t.lookalikes('text')} <> text THEN 'look-alike characters' END) AS signals FROM messages"""
+    counts = ", ".join(f"{t.letters('text', x)} AS n_{x}" for x in ft.SCRIPTS)
+    nothing = t.rep("text", r"\PL+", "")
+    out["b10_script_profile"] = f"""WITH {msgs}, c AS (SELECT message_id, length({nothing}) AS letters, {counts} FROM messages)
+      SELECT message_id, concat_ws(',', {', '.join(f"CASE WHEN n_{x} > 0 THEN '{x}' END" for x in ft.SCRIPTS)}) AS scripts, CAST(letters AS INTEGER) AS letter_count,
+      round(({' + '.join('n_' + x for x in ft.SCRIPTS)}) / greatest(1, letters), 6) AS recognized_ratio FROM c"""
+    out["b11_fold"] = f"WITH {msgs}, f AS (SELECT message_id, {t.accents('text')} AS folded FROM messages) SELECT message_id, folded, {t.german('folded')} AS folded_de FROM f"
+    out["b14_fingerprint"] = f"WITH {msgs} SELECT message_id, sha256(text) AS input_sha256, {t.clip('text', 220)} AS excerpt, {t.plain_urls('text')} AS plain FROM messages"
+    rules = r.all_ctes()
+    out["c1_rule_scan"] = f"WITH {rules} SELECT message_id, rule_id, severity, weight, evidence FROM findings"
+    out["c3_findings_rollup"] = f"""WITH {rules}, act AS (SELECT message_id, action, min(ord) AS o FROM findings GROUP BY message_id, action),
+      act6 AS (SELECT message_id, string_agg(action, ' | ' ORDER BY o) AS actions FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY o) AS k FROM act) WHERE k <= 6 GROUP BY message_id),
+      g AS (SELECT message_id, sum(weight) AS p, count(*) AS n, bool_or(severity = 'critical') AS c, arg_min(category, ord) AS cat FROM findings GROUP BY message_id)
+      SELECT n7.message_id, CAST(coalesce(p, 0) AS INTEGER) AS rule_points, CAST(coalesce(n, 0) AS INTEGER) AS finding_count, coalesce(c, false) AS has_critical, coalesce(cat, 'No decisive pattern') AS primary_pattern,
+      coalesce(actions, 'Verify the sender and the offer through official channels found independently before acting.') AS actions FROM n7 LEFT JOIN g USING (message_id) LEFT JOIN act6 USING (message_id)"""
+    out["c5_language_rules"] = f"WITH {rules} SELECT rule_id, count(*) AS messages, max(weight) AS weight FROM findings WHERE ord >= {len(ENGLISH)} GROUP BY rule_id"
+    out["d_expected_rules"] = f"""WITH {rules} SELECT coalesce(expected_rule, '-') AS expected_rule, count(*) AS messages, count(*) FILTER (WHERE (message_id, expected_rule) IN (SELECT (message_id, rule_id) FROM findings)) AS met
+      FROM n7 GROUP BY 1"""
+    ent = f"{normal},\n{ln.arrays('n7')}"
+    out["e_entities"] = f"WITH {ent} SELECT message_id, kind, subtype, value, CAST(pos AS INTEGER) AS pos FROM ({ln.entity_rows()})"
+    lf = f"{ent}, {ln.message_links()}, {ln.link_rows('ml')}"
+    out["f_link_risk"] = f"WITH {lf} SELECT message_id, CAST(pos AS INTEGER) AS pos, url, scheme, host, domain, suffix, valid, signals, points FROM lf"
+    out["f_page_links"] = f"WITH src AS (SELECT page_id, url AS raw_url FROM pages), {ln.link_rows('src')} SELECT page_id, url, host, domain, suffix, signals, points FROM lf"
+    out["g3_brand_lookalikes"] = f"WITH {lf} SELECT domain, brand, count(DISTINCT message_id) AS messages FROM lf JOIN lf_br USING (domain) GROUP BY domain, brand"
+    out["h_email_identity"] = f"WITH {ent}, {ln.mail_rows()} SELECT message_id, CAST(pos AS INTEGER) AS pos, email, domain, signals, points FROM mf"
+    out["i1_stage_tags"] = f"WITH {s.tagged()} SELECT t.conv_id, t.turn, coalesce(string_agg(stage, ',' ORDER BY ord), '') AS stages FROM turns t LEFT JOIN hits h USING (conv_id, turn) GROUP BY t.conv_id, t.turn"
+    out["i2_first_turns"] = f"WITH {s.tagged()} SELECT conv_id, stage, min(turn) + 1 AS first_message FROM hits GROUP BY conv_id, stage"
+    out["i4_escalation"] = s.conversations()
+    out["i6_timeline"] = f"""WITH {s.tagged()} SELECT t.conv_id, t.turn + 1 AS message, t.sender, string_agg(stage, ',' ORDER BY ord) AS stages, {t.clip('any_value(t.text)', 150)} AS excerpt
+      FROM turns t JOIN hits USING (conv_id, turn) GROUP BY t.conv_id, t.turn, t.sender"""
+    out["a4_turn_parse"] = f"WITH {normal}, {s.lines('n7', 'normalized')} SELECT message_id, CAST(turn AS INTEGER) AS turn, ts, sender, body FROM tl"
+    lab = f"lab0 AS (SELECT d.doc_id AS k, d.text, l.toxic AS label FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL),\n{t.normal_ctes('lab0')},\nlab AS MATERIALIZED (SELECT k, label, normalized FROM n7)"
+    out["j2_train"] = f"WITH {lab}, {s.model('lab')} SELECT gram, weight, c0 + c1 AS seen FROM mw JOIN mc USING (gram)"
+    docs = t.normal_ctes("docs0")
+    for i in range(8):
+        docs = docs.replace(f"n{i} AS", f"y{i} AS").replace(f"FROM n{i}", f"FROM y{i}")
+    out["j3_score"] = f"""WITH {lab}, {s.model('lab')}, docs0 AS (SELECT doc_id, text FROM documents), {docs}, {s.scored('y7', 'doc_id')}
+      SELECT doc_id, features, delta, {s.probability(1.0)} AS raw_probability, {s.probability(2.4)} AS calibrated FROM sc"""
+    v = s.verdict()
+    out["k_verdict"] = f"{v} SELECT {s.VERDICT_COLUMNS} FROM v"
+    out["k5_band_counts"] = f"{v} SELECT risk_band, count(*) AS messages, CAST(sum(risk_score) AS BIGINT) AS score_sum, CAST(max(risk_score) AS INTEGER) AS top_score FROM v GROUP BY risk_band"
+    level = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LEVELS.items())
+    out["a9_result_export"] = f"""{v} SELECT message_id, CAST(to_json({{'message_id': message_id, 'risk_score': CAST(risk_score AS INTEGER), 'risk_band': risk_band, 'level': CASE risk_band {level} END, 'primary_pattern': primary_pattern}}) AS VARCHAR) AS verdict FROM v"""
+    return out
