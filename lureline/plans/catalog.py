@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lureline.functions import text as t
 from lureline.functions.rows import lookup, settle
-from lureline.operators import bayes, links, rules, stages, verdict
+from lureline.operators import bayes, checks, corpus, evaluate, langid, links, manifest, pages, rules, sampling, stages, verdict, verify
 from lureline.operators import normalize as nz
 from lureline.plans import messages as m
+from lureline.sources import intake, sinks
+from lureline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,3 +196,257 @@ def a9_result_export(spark, d):
     v = _verdicts(spark, d)
     doc = F.struct("message_id", "risk_score", "risk_band", "level", "primary_pattern")
     return v.select("message_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("verdict"))
+
+
+@query
+def l1_checklist(spark, d):
+    return verify.checklist(m.message_view(spark, d))
+
+
+@query
+def l2_official_sources(spark, d):
+    return verify.sources(m.message_view(spark, d))
+
+
+@query
+def m_page_findings(spark, d):
+    x = pages.inspect(m.page_view(spark, d))
+    return x.select("page_id", "title", F.substring("visible", 1, 1000).alias("excerpt"), "forms", "password_fields", "script_tags", F.array_join("signals", "; ").alias("signals"), "risk_points")
+
+
+@query
+def m4_page_links(spark, d):
+    x = pages.inspect(m.page_view(spark, d)).select("page_id", F.posexplode("links").alias("i", "link"))
+    return x.select("page_id", (F.col("i") + 1).alias("pos"), "link")
+
+
+@query
+def n2_language(spark, d):
+    x = langid.detect(m.message_view(spark, d))
+    return x.select("message_id", "language", F.array_join("languages", ",").alias("languages"))
+
+
+@query
+def n4_localized_evidence(spark, d):
+    x = langid.evidence(langid.detect(m.message_view(spark, d)))
+    return x.select("message_id", F.array_join("evidence", " | ").alias("evidence"), F.array_join("awareness", " | ").alias("awareness"))
+
+
+@query
+def n6_language_names(spark, d):
+    """Documents per supported language, with the languages that have none."""
+    docs = m.read(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
+    return F.broadcast(langid.supported(spark)).join(docs, F.col("code") == F.col("lang"), "left").select("code", "name", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"))
+
+
+def _numbers(spark, d):
+    return m.read(spark, d, "documents").select((F.col("doc_id") + 1).alias("number"))
+
+
+def _records(spark, d):
+    """One labelled record per document number."""
+    return corpus.records(_numbers(spark, d))
+
+
+@query
+def a1_json_lines(spark, d):
+    lines = m.read(spark, d, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("line"))
+    return intake.parse_lines(lines, "line", "doc_id bigint, lang string, source string, n_chars bigint").select("doc_id", "lang", "source", "n_chars")
+
+
+@query
+def a2_message_intake(spark, d):
+    out = intake.messages(m.message_view(spark, d))
+    return out.select("message_id", F.length("text").alias("chars"), "source_url", "claimed_domain", "recruiter_email")
+
+
+@query
+def a3_turn_intake(spark, d):
+    return intake.turns(m.turn_view(spark, d))
+
+
+@query
+def a7_split_counts(spark, d):
+    return sinks.split_counts(_records(spark, d))
+
+
+@query
+def a8_split_index(spark, d):
+    return sinks.split_index(_records(spark, d))
+
+
+@query
+def a10_page_source(spark, d):
+    return intake.pages(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("chars"))
+
+
+@query
+def o1_record_plan(spark, d):
+    r = _records(spark, d)
+    return r.select("id", "record_type", "label", "domain", "taxonomy_id", "language", "country", "currency", "channel", "variant_type", "requested_action", "harm_vector", "severity", "lifecycle_stage", "payment_method", "campaign_group_id", "split")
+
+
+@query
+def o3_record_text(spark, d):
+    return _records(spark, d).select("id", "text", F.array_join("signals", ",").alias("signals"), F.size("turns").alias("turns"))
+
+
+@query
+def o9_hash_split(spark, d):
+    docs = m.read(spark, d, "documents").select("doc_id", corpus.split_of(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("split"))
+    return docs
+
+
+@query
+def o12_dedup(spark, d):
+    return corpus.dedup(m.read(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def p_corpus_checks(spark, d):
+    return checks.validate(_records(spark, d))
+
+
+@query
+def p3_duplicate_content(spark, d):
+    docs = m.read(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("content_sha256"))
+    g = docs.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return g.where(F.col("copies") > 1)
+
+
+@query
+def p10_split_isolation(spark, d):
+    """Copies of one text that a split by document number would part."""
+    docs = m.read(spark, d, "documents").select(F.sha2("text", 256).alias("grp"), corpus.split_of(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("split"))
+    g = docs.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.min("split").alias("low"), F.max("split").alias("high"))
+    return g.where(F.col("low") != F.col("high"))
+
+
+@query
+def p12_reserved_urls(spark, d):
+    return m.read(spark, d, "pages").select("page_id", "url", checks.reserved_url(F.col("url")).alias("reserved"))
+
+
+@query
+def p22_rollup(spark, d):
+    return checks.rollup(checks.validate(_records(spark, d)))
+
+
+@query
+def p23_schema_violations(spark, d):
+    turns = checks.violations(m.read(spark, d, "conversations"), ["conv_id", "turn"], checks.turn_constraints())
+    recs = checks.violations(_records(spark, d), ["id"], checks.record_constraints())
+    a = turns.groupBy("constraint").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("conversations").alias("table_name"), "constraint", "rows")
+    return a.unionByName(recs.groupBy("constraint").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("records").alias("table_name"), "constraint", "rows"))
+
+
+@query
+def q1_leaf_sample(spark, d):
+    r = _records(spark, d).where(F.col("label") == "scam")
+    return sampling.first_per_group(r, "taxonomy_id", "id", 10).select("taxonomy_id", "id", "place")
+
+
+@query
+def q2_evaluation_slice(spark, d):
+    return sampling.evaluation_slice(_records(spark, d)).select("id", "label", "domain", "taxonomy_id", "language", "variant_type", "severity", "slice")
+
+
+@query
+def q4_distributions(spark, d):
+    return sampling.distributions(_records(spark, d), ["label", "domain", "record_type", "language", "split", "taxonomy_id", "variant_type", "severity", "requested_action"])
+
+
+@query
+def q4_document_distributions(spark, d):
+    return sampling.distributions(m.read(spark, d, "documents"), ["lang", "source"])
+
+
+@query
+def q5_slice_statistics(spark, d):
+    s = sampling.evaluation_slice(_records(spark, d))
+    return s.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("language").alias("languages"), F.min("id").alias("first_id"))
+
+
+@query
+def q6_language_audit(spark, d):
+    return sampling.language_audit(_records(spark, d))
+
+
+@query
+def q7_review_queue(spark, d):
+    return sampling.review_queue(m.read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 160).select("lang", "doc_id", "place")
+
+
+@query
+def r1_file_manifest(spark, d):
+    return manifest.build(spark, d)
+
+
+@query
+def r2_release_digest(spark, d):
+    return manifest.digest(manifest.build(spark, d))
+
+
+ATTESTED = (("native_language_review", "approved", "A. Reviewer", "2026-01-05", "notes"), ("legal_privacy_review", "approved", "B. Reviewer", None, "notes"), ("security_release_review", "not_provided", None, None, None))
+
+
+@query
+def r4_gates(spark, d):
+    attested = spark.createDataFrame(list(ATTESTED), "gate_key string, status string, reviewer string, reviewed_at string, evidence string")
+    return manifest.gates(checks.validate(_records(spark, d)), attested)
+
+
+@query
+def r5_readiness(spark, d):
+    return manifest.readiness(r4_gates(spark, d))
+
+
+def _evaluated(spark, d):
+    labels = m.message_view(spark, d).select("message_id", "lang", F.col("expected_rule").isNotNull().alias("scam"))
+    return _verdicts(spark, d).join(labels, "message_id")
+
+
+@query
+def s1_evaluation(spark, d):
+    return evaluate.by_group(_evaluated(spark, d), ["lang"], F.col("scam"))
+
+
+@query
+def s2_regression_diff(spark, d):
+    """Against the rule of thumb that only messages with a critical finding are caught."""
+    e = _evaluated(spark, d).where("scam")
+    known = e.where(~F.col("has_critical")).select("message_id")
+    return evaluate.diff(known, e.where(F.col("risk_score") < evaluate.FLAGGED).select("message_id"))
+
+
+@query
+def s3_missing_rules(spark, d):
+    expected = m.message_view(spark, d).where(F.col("expected_rule").isNotNull()).select("message_id", F.col("expected_rule").alias("rule_id"))
+    return evaluate.missing_rules(expected, rules.findings_table(_scanned(spark, d)).select("message_id", "rule_id"))
+
+
+@query
+def s5_variant_matrix(spark, d):
+    v = evaluate.variants(m.read(spark, d, "benchmark"))
+    return v.select("item_id", "variant_no", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def t2_running_escalation(spark, d):
+    return jobs.running_escalation(m.turn_view(spark, d))
+
+
+@query
+def t3_window_counts(spark, d):
+    return jobs.band_counts(m.read(spark, d, "events"), group="event_type").withColumn("window_start", F.col("window_start").cast("string"))
+
+
+@query
+def t3_sliding_counts(spark, d):
+    return jobs.band_counts(m.read(spark, d, "events"), group="event_type", size="2 hours", slide="1 hour").withColumn("window_start", F.col("window_start").cast("string"))
+
+
+@query
+def t4_sessions(spark, d):
+    s = jobs.sessions(m.read(spark, d, "events"), "user_id")
+    return s.withColumns({c: F.col(c).cast("string") for c in ("session_start", "session_end")})

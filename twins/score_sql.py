@@ -95,7 +95,7 @@ def verdict() -> str:
     return f"""WITH {r.all_ctes()},
 {ln.arrays('n7')}, {ln.message_links()}, {ln.link_rows('ml')}, {ln.mail_rows()},
 {lines('n7', 'normalized')}, shits AS ({hits}), firsts AS (SELECT message_id, ord, stage, min(turn) AS first FROM shits GROUP BY ALL), {escalated('firsts', 'message_id')},
-{seed_rows()}, {model('seeds')}, {scored('n7', 'message_id')}, {opinion()},
+{seed_rows()}, {model('seeds', 'nb')}, {scored('n7', 'message_id', 'nb')}, {opinion()},
 fr AS (SELECT message_id, sum(weight) AS pts, count(*) AS n, bool_or(severity = 'critical') AS crit, arg_min(category, ord) AS primary_pattern FROM findings GROUP BY message_id),
 a AS (SELECT n.message_id, coalesce(f.n, 0) AS n, coalesce(crit, false) AS crit, coalesce(f.primary_pattern, 'No decisive pattern') AS primary_pattern,
   least(68, round_even(72 * (1 - pow(2.718281828, -coalesce(pts, 0) / 70)), 0)) AS rule_component,
