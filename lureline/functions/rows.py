@@ -29,4 +29,5 @@ def lookup(values: list, ordinal: Column) -> Column:
     """The constant at a 0-based place. The list travels as one literal, which keeps the plan small; Spark folds the split."""
     kind = "boolean" if isinstance(values[0], bool) else "int" if isinstance(values[0], int) else "string"
     listed = F.split(F.lit("\x01".join(map(str, values))), "\x01")
-    return F.element_at(listed, ordinal + 1).cast(kind)
+    # An unknown place has no constant; element_at does not declare that, so it is said here.
+    return F.when(ordinal.isNotNull(), F.element_at(listed, ordinal + 1).cast(kind))
