@@ -9,9 +9,11 @@ from lureline.functions import charmaps as cm
 from lureline.functions.patterns import MARK, NOT_WORD
 
 WORD = r"[\pL\pN\pM_]"
-_COMPAT_CLASS = cm.char_class("".join(cm.COMPAT))
+# Coarse tests before ``translate``: a few ranges that hold all keys of a table, since Java walks a class range by range.
+_COMPAT_GATE = r"[\x{a0}-\x{bf}\x{130}-\x{10ffff}]"
+_LOOK_GATE = r"[\x{17f}\x{261}\x{370}-\x{52f}\x{212a}]"
+_ACCENT_GATE = r"[\x{c0}-\x{24f}\x{1e00}-\x{1eff}\x{622}-\x{670}]"
 _LOOK_CLASS = cm.char_class("".join(cm.LOOKALIKES))
-_ACCENT_CLASS = cm.char_class("".join(cm.ACCENTS) + "".join(cm.ARABIC_LETTERS) + cm.ARABIC_MARKS)
 _LEET_ANY = "(?i)(?:" + "|".join(cm.LEET) + ")"
 _NON_ASCII = r"[^\x{00}-\x{7f}]"
 
@@ -23,7 +25,7 @@ def _map_chars(c: Column, gate: str, table: dict[str, str], drop: str = "") -> C
 
 def fold_compat(c: Column) -> Column:
     """B1, the one-to-one part of compatibility folding (full width, ideographic blank, styled letters)."""
-    return _map_chars(c, _COMPAT_CLASS, cm.COMPAT)
+    return _map_chars(c, _COMPAT_GATE, cm.COMPAT)
 
 
 def strip_invisible(c: Column) -> Column:
@@ -39,16 +41,15 @@ def refang(c: Column) -> Column:
 
 
 def map_lookalikes(c: Column) -> Column:
-    return _map_chars(c, _LOOK_CLASS, cm.LOOKALIKES)
+    return _map_chars(c, _LOOK_GATE, cm.LOOKALIKES)
 
 
 def join_spaced_letters(c: Column) -> Column:
     """Drop the blank between two lone characters when a further lone one adjoins on either side."""
-    lone_before = rf"(?<=(?<!{WORD})[A-Za-z0-9])"
-    lone_after = rf"(?=[A-Za-z0-9](?!{WORD}))"
-    more_before = rf"(?<=(?<!{WORD})[A-Za-z0-9][ \t][A-Za-z0-9])"
-    more_after = rf"(?=[A-Za-z0-9][ \t][A-Za-z0-9](?!{WORD}))"
-    return F.regexp_replace(c, rf"{more_before}[ \t]{lone_after}|{lone_before}[ \t]{more_after}", "")
+    lone, end = rf"(?<!{WORD})[A-Za-z0-9][ \t]", rf"(?!{WORD})"
+    inner = rf"[ \t](?:(?<={lone}[A-Za-z0-9][ \t])(?=[A-Za-z0-9]{end})|(?<={lone})(?=[A-Za-z0-9][ \t][A-Za-z0-9]{end}))"
+    run = r"[A-Za-z0-9][ \t][A-Za-z0-9][ \t][A-Za-z0-9]"
+    return F.when(c.rlike(run), F.regexp_replace(c, inner, "")).otherwise(c)
 
 
 def decode_leet(c: Column) -> Column:
@@ -61,14 +62,14 @@ def decode_leet(c: Column) -> Column:
 def tidy(c: Column) -> Column:
     """One dash, single blanks, at most one empty line, no outer white space."""
     out = F.regexp_replace(c, r"[\x{2010}-\x{2015}]", "-")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
+    out = F.regexp_replace(out, r"[ \t]{2,}|\t", " ")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return F.regexp_replace(out, r"^\s+|\s+\z", "")
 
 
 def fold_accents(c: Column) -> Column:
     """Latin accents off (same length), Arabic marks dropped and letter variants unified."""
-    return _map_chars(c, _ACCENT_CLASS, {**cm.ACCENTS, **cm.ARABIC_LETTERS}, cm.ARABIC_MARKS)
+    return _map_chars(c, _ACCENT_GATE, {**cm.ACCENTS, **cm.ARABIC_LETTERS}, cm.ARABIC_MARKS)
 
 
 def fold_german(c: Column) -> Column:
@@ -126,4 +127,4 @@ def mixed_scripts(c: Column) -> Column:
 
 
 def has_lookalike(c: Column) -> Column:
-    return c.rlike(_LOOK_CLASS)
+    return c.rlike(_LOOK_GATE) & c.rlike(_LOOK_CLASS)
