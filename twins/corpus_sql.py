@@ -156,8 +156,8 @@ def sql() -> dict[str, str]:
         "r5_readiness": f"{rec}, {validated()}, {gates()} SELECT CASE WHEN count(*) FILTER (WHERE gate LIKE 'T%' AND state <> 'PASS') = 0 THEN 'PASS' ELSE 'BLOCKED' END AS technical_status, CASE WHEN bool_and(state = 'PASS') THEN 'READY_FOR_PRODUCTION' ELSE 'NOT_READY_FOR_PRODUCTION' END AS overall_status, count(*) FILTER (WHERE state <> 'PASS') AS blocked_gate_count FROM gt",
         "s1_evaluation": f"""{evaluated} SELECT lang, count(*) FILTER (WHERE scam) AS scams, count(*) FILTER (WHERE scam AND risk_score < {evaluate.FLAGGED}) AS missed, count(*) FILTER (WHERE NOT scam) AS ordinary,
           count(*) FILTER (WHERE NOT scam AND risk_score >= {evaluate.FLAGGED}) AS flagged, count(*) FILTER (WHERE NOT scam AND risk_band IN ('High', 'Critical')) AS over_ceiling FROM ev GROUP BY lang""",
-        "s2_regression_diff": f"""{evaluated}, a AS (SELECT message_id FROM ev WHERE scam AND NOT crit), b AS (SELECT message_id FROM ev WHERE scam AND risk_score < {evaluate.FLAGGED})
-          SELECT message_id, 'fixed' AS state FROM a WHERE message_id NOT IN (SELECT message_id FROM b) UNION ALL SELECT message_id, 'new' FROM b WHERE message_id NOT IN (SELECT message_id FROM a)""",
+        "s2_regression_diff": f"""{evaluated}, ka AS (SELECT message_id FROM ev WHERE scam AND NOT crit), kb AS (SELECT message_id FROM ev WHERE scam AND risk_score < {evaluate.FLAGGED})
+          SELECT message_id, 'fixed' AS state FROM ka WHERE message_id NOT IN (SELECT message_id FROM kb) UNION ALL SELECT message_id, 'new' FROM kb WHERE message_id NOT IN (SELECT message_id FROM ka)""",
         "s3_missing_rules": f"WITH {rules_sql.all_ctes()} SELECT message_id, expected_rule AS rule_id FROM messages WHERE expected_rule IS NOT NULL AND (message_id, expected_rule) NOT IN (SELECT (message_id, rule_id) FROM findings)",
         "s5_variant_matrix": """SELECT item_id, v.n AS variant_no, sha256(CASE v.n WHEN 0 THEN text WHEN 1 THEN replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS') WHEN 2 THEN 'Hello. ' || text WHEN 3 THEN text || ' Thank you.' WHEN 4 THEN 'Sender: ' || text ELSE '[10:30] Agent: ' || text END) AS text_sha256
           FROM benchmark, (VALUES (0), (1), (2), (3), (4), (5)) v(n)""",

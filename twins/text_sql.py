@@ -36,15 +36,16 @@ def lookalikes(x: str) -> str:
 
 
 def spaced(x: str) -> str:
-    """Runs of three to seven lone characters, longest first, each length its own replacement (run twice for neighbours)."""
-    probe = rf"(?:^|{NW})[A-Za-z0-9][ \t][A-Za-z0-9][ \t][A-Za-z0-9](?:$|{NW})"
-    out = x
-    for n in range(7, 2, -1):
-        body = r"[ \t]".join(["([A-Za-z0-9])"] * n)
-        back = "".join(f"\\{i}" for i in range(1, n + 3))
-        for _ in range(2):
-            out = rep(out, rf"(^|{NW}){body}($|{NW})", back)
-    return f"CASE WHEN regexp_matches({x}, {q(probe)}) THEN {out} ELSE {x} END"
+    """Separators are doubled so that neighbouring lone characters can each be marked; a blank between two marked ones
+    becomes a link, single links are undone, and the remaining ones (runs of three and more) are deleted."""
+    probe = r"[A-Za-z0-9][ \t][A-Za-z0-9][ \t][A-Za-z0-9]"
+    out = rep(f"' ' || {x} || ' '", f"({NW})", r"\1\1")
+    out = rep(out, f"({NW})([A-Za-z0-9])({NW})", "\\1\x01\\2\x03\\3")
+    out = rep(out, "\x03([ \\t])[ \\t]\x01", "\x04\\1")
+    out = rep(out, "\x01([A-Za-z0-9])\x04([ \\t])([A-Za-z0-9])\x03", r"\1\2\2\3")
+    out = rep(rep(out, "\x04[ \\t]", ""), "[\x01\x03]", "")
+    out = rep(out, f"({NW}){NW}", r"\1")
+    return f"CASE WHEN regexp_matches({x}, {q(probe)}) THEN substr({out}, 2, length({out}) - 2) ELSE {x} END"
 
 
 def leet(x: str) -> str:
