@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lureline.llm import mixing, packing, planes, shards
+from lureline.llm import mixing, nearjoin, packing, planes, repeats, shards
 from lureline.llm.common import shared_folder
 
 #: The tokenizer file; another may be given to the operators.
@@ -35,11 +36,22 @@ def op1_temperature_mixing(spark, d):
     return mixing.mix(documents(spark, d)).select("doc_id", "source", "epoch", "n_tokens", "place", "alpha", "weight")
 
 
+@query
+def op2_run_index(spark, d):
+    out = repeats.without_repeats(documents(spark, d), carry=["doc_id"])
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_packing(spark, d):
     return packing.pack(documents(spark, d), tokenizer_path(), with_ids=False).drop("ids")
 
 
+@query
+def op4_minhash(spark, d):
+    return nearjoin.near_duplicates(documents(spark, d)).drop("rk")
+
+
 @query
 def op8_sharding(spark, d):
     return shards.shard(documents(spark, d), payload=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
