@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import mixing, nearjoin, packing, planes, repeats, shards
+from lureline.llm import mixing, nearjoin, packing, perplexity, planes, repeats, shards, vptree
 from lureline.llm.common import shared_folder
 
 #: The tokenizer file; another may be given to the operators.
@@ -52,11 +52,21 @@ def op4_minhash(spark, d):
     return nearjoin.near_duplicates(documents(spark, d)).drop("rk")
 
 
+@query
+def op5_perplexity(spark, d):
+    return perplexity.judged(documents(spark, d)).drop("rk", "n_scored")
+
+
 @query
 def op8_sharding(spark, d):
     return shards.shard(documents(spark, d), payload=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op9_vantage_points(spark, d):
+    return vptree.nearest(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 @query
 def op10_bit_planes(spark, d):
     folder = shared_folder(spark)
