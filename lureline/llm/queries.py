@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import langfamily, mixing, nearjoin, packing, perplexity, planes, repeats, shards, vptree
+from lureline.llm import langfamily, licences, mixing, nearjoin, packing, perplexity, planes, repeats, shards, vptree
 from lureline.llm.common import shared_folder
 
 #: The tokenizer file; another may be given to the operators.
@@ -62,6 +62,11 @@ def op6_language_family(spark, d):
     return langfamily.languages(documents(spark, d))
 
 
+@query
+def op7_licence_index(spark, d):
+    return licences.licences(documents(spark, d))
+
+
 @query
 def op8_sharding(spark, d):
     return shards.shard(documents(spark, d), payload=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
