@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lureline.llm.common import cut, row_key
+from lureline.llm.common import cut, packed, row_key
 from lureline.llm.components import components
 from lureline.llm.tokens import batches
 from lureline.llm.words import LOWER, mix64, shingle_sets
@@ -102,14 +102,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rounds: int = 2) -> DataFrame:
-    """rk, doc_id, n_shingles, component_id (smallest id reachable over links), kept (the id is the component's).
+    """rk, doc_id, n_shingles, component_id (smallest id reachable over links), kept (the id is the component's), lead (rk of the one to keep).
 
     Null or wordless texts have an empty set and no links. A null id is no component's smallest unless the component has no other id,
     then component_id is null and nothing of it is kept but rows with a null id. Repeated rows are in one component and kept alike.
     Other columns are not read. An empty table gives no rows. Sets and shingles are told apart by 64-bit hashes.
     """
     rows = cut(signed(docs, width))
-    classes = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), F.min("rk").alias("rk")))
+    classes = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least")))
+    classes = classes.withColumn("rk", F.col("least.rk"))
     keys = keyed(classes)
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("key")
     members = cut(keys.join(shared, "key"))
@@ -144,10 +145,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rounds:
         if labelled.isEmpty():
             break
     if labels is None:
-        of = classes.select("node", F.col("least").alias("component_id"))
+        of = classes.select("node", F.col("least").alias("lead"))
     else:
         named = classes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        of = named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")
+        of = named.join(named.groupBy("label").agg(F.min("least").alias("lead")), "label").select("node", "lead")
     whole = rows.join(of, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return whole.select("rk", "doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = F.col("n_shingles") > 0
+    out = whole.select("rk", "doc_id", "n_shingles", F.when(linked, F.col("lead.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("lead.rk")).otherwise(F.col("rk")).alias("lead"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents' own columns, one document of each component: that with the smallest id (a null id only if there is no other)."""
+    kept = near_duplicates(docs, width, percent).filter("rk = lead").select("rk").distinct()
+    rows = docs.select(packed(docs).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("rk"))
+    return rows.join(kept, "rk", "left_semi").dropDuplicates(["rk"]).select("row.*")

@@ -49,7 +49,7 @@ def op3_packing(spark, d):
 
 @query
 def op4_minhash(spark, d):
-    return nearjoin.near_duplicates(documents(spark, d)).drop("rk")
+    return nearjoin.near_duplicates(documents(spark, d)).drop("rk", "lead")
 
 
 @query
