@@ -4,9 +4,12 @@ A signature has CHUNKS * SYMBOLS values of 16 bits. By the pigeonhole principle,
 values have a chunk that differs in at most one. So each chunk is indexed once for each value left out: all pairs under that distance
 share a key. Documents with equal sets are one class from the start; only classes are indexed.
 
-Within a key, members are first compared with one of them. What that leaves unconnected is compared with other members for some rounds,
-and the last round compares every pair that shares a key and is not connected yet; so a large group of near copies costs about as many
-comparisons as it has members, and no pair is lost.
+Within a key, members are first compared with one of them, the largest set. For members of keys that this leaves apart, the shingles that
+some other of them has are counted, in all and in GROUPS groups by hash: two members share at most the sum of the smaller counts, so pairs
+that cannot be links need no comparison.
+Then members are compared with the one that shares most of its set, then with another. At last, what is still apart meets on the
+rarest shingles of each member: links share at least `percent` of a set, so they share one of its (100 - percent) percent rarest (and one
+more), in one order for all. So a large group of near copies costs about as many comparisons as it has members, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from lureline.llm.components import components
 from lureline.llm.tokens import batches
 from lureline.llm.words import LOWER, mix64, shingle_sets
 
-CHUNKS, SYMBOLS = 10, 5
+CHUNKS, SYMBOLS, GROUPS = 10, 5, 64
 _A = mix64(np.arange(1, CHUNKS * SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix64(np.arange(1001, CHUNKS * SYMBOLS + 1001, dtype=np.uint64))
 
@@ -101,6 +104,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(similar(F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb")), percent)).select("a", "b")
 
 
+def shingles_of(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, shingle of the members."""
+    return sets.join(members.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+
+
+def shared_sizes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members with s, how many of their shingles some other of these members has, and v, the same by GROUPS groups.
+
+    The j-th entry of v has a bit for each group with j such shingles or more, so the smaller counts of two members add up to the bits that
+    their entries have in common.
+    """
+    alone = shingles_of(members, sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node")).filter("times = 1").groupBy("node").agg(F.collect_list("shingle").alias("alone"))
+    own = sets.join(members.select("node").distinct(), "node", "left_semi").join(alone, "node", "left")
+    left = own.select("node", F.array_except("shingles", F.coalesce("alone", F.array().cast("array<bigint>"))).alias("left"))
+    counts = F.expr(f"transform(sequence(0, {GROUPS - 1}), k -> size(filter(transform(left, x -> pmod(x, {GROUPS})), x -> x = k)))")
+    levels = F.expr(f"transform(if(array_max(c) > 0, sequence(1, array_max(c)), array()), j -> aggregate(sequence(0, {GROUPS - 1}), 0L, (bits, k) -> bits | if(c[k] >= j, shiftleft(1L, k), 0L)))")
+    grouped = left.select("node", F.size("left").cast("long").alias("s"), counts.alias("c")).select("node", "s", levels.alias("v"))
+    return members.drop("s", "v").join(cut(grouped), "node")
+
+
+def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, shingle: of each member's set the rarest shingles among these members, one more than a link may lack, without those no other has."""
+    long = shingles_of(members, sets)
+    often = cut(long.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    met = long.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("own"))
+    # Shingles without company come first in the order and take up places.
+    sized = met.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    places = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - (F.col("n") - F.size("own"))
+    return sized.filter(places > 0).select("node", F.explode(F.slice("own", F.lit(1), places)).alias("r")).select("node", "r.shingle")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rounds: int = 2) -> DataFrame:
     """rk, doc_id, n_shingles, component_id (smallest id reachable over links), kept (the id is the component's), lead (rk of the one to keep).
 
@@ -112,36 +146,37 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, rounds:
     classes = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("least")))
     classes = classes.withColumn("rk", F.col("least.rk"))
     keys = keyed(classes)
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("key")
+    shared = cut(keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("key"))
     members = cut(keys.join(shared, "key"))
     sets = cut(set_of(docs, classes.join(members.select("node").distinct(), "node", "left_semi").select("rk", "node"), width))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    plain = (F.col("a") != F.col("b")) & similar(F.col("na"), F.col("nb"), F.least("sa", "sb"), percent)
+    both = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.coalesce(F.bit_count(x.bitwiseAND(y)), F.lit(0))), F.lit(0), lambda x, y: x + y)
+    sharp = plain & similar(F.col("na"), F.col("nb"), both, percent)  # the costlier bound for what the plain one lets through
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    labelled = members.withColumn("label", F.col("node"))
+    labelled = members.withColumn("label", F.col("node")).withColumn("s", F.col("n")).withColumn("v", F.array().cast("array<bigint>"))  # see shared_sizes()
+    side = [[F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("v").alias(f"v{c}"), F.col("label").alias(f"l{c}")] for c in "ab"]
     links, tested, labels = None, None, None
     for turn in range(rounds + 2):
         if turn <= rounds:  # one member of each key against the others
-            order = F.xxhash64(F.col("node"), F.lit(turn))
-            hubs = labelled.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), order).alias("h")).select("key", "h.*")
-            pairs = hubs.join(labelled.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")), "key")
+            order = [[-F.col("n")], [F.col("n") - F.col("s"), -F.col("n")]][turn] if turn < 2 else []
+            hubs = cut(labelled.groupBy("key").agg(F.min_by(F.struct(*side[0]), F.struct(*order, F.xxhash64(F.col("node"), F.lit(turn)))).alias("h")).select("key", "h.*"))
+            pairs = hubs.join(labelled.select("key", *side[1]), "key").filter("la <> lb")
         else:  # whatever is still apart
-            one = labelled.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            two = labelled.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = one.join(two, "key").filter("la < lb")
-        pairs = pairs.filter(fits & (F.col("la") != F.col("lb"))).select(*pair).distinct()
+            rare = cut(labelled.select("node", "n", "s", "v", "label").distinct().join(rarest(labelled, sets, percent), "node"))
+            pairs = rare.select("shingle", *side[0]).join(rare.select("shingle", *side[1]), "shingle").filter("la < lb")
+        pairs = pairs.filter(sharp if turn else plain).select(*pair).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn <= rounds:
-                continue
-            break
-        found = cut(confirmed(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # Keys whose members are all connected have nothing left to compare.
-        apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        labelled = cut(named.join(apart, "key", "left_semi").select("node", "n", "key", "label"))
+        if not pairs.isEmpty():
+            found = cut(confirmed(pairs, sets, percent))
+            links = found if links is None else links.union(found)
+            tested = pairs if tested is None else tested.union(pairs)
+            labels = components(links)
+            named = labelled.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            # Keys whose members are all connected have nothing left to compare.
+            apart = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+            labelled = cut(named.join(cut(apart), "key", "left_semi"))
+        if turn == 0:
+            labelled = cut(shared_sizes(labelled, sets))
         if labelled.isEmpty():
             break
     if labels is None:
