@@ -13,7 +13,7 @@ from lureline.plans.catalog import QUERIES
 from lureline.session import local_session
 
 HEADLINE = ("b_normalize", "c1_rule_scan", "e_entities", "f_page_links", "i4_escalation", "j2_train", "j3_score", "k5_band_counts", "m_page_findings", "n2_language",
-            "o3_record_text", "p_corpus_checks", "q4_distributions", "o12_dedup", "t4_sessions")
+            "o5_document_variants", "p_corpus_checks", "q4_distributions", "o12_dedup", "t4_sessions")
 
 
 def main() -> None:

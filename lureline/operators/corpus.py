@@ -132,7 +132,7 @@ def records(numbers: DataFrame, number: str = "number") -> DataFrame:
     action = F.coalesce(lookup([x.ACTIONS[v[2]] for v in x.LEAVES], leaf), s("none"))
     stages = F.split(lookup([v[3] for v in x.LEAVES], leaf), " ")
     width = F.when(scam, 1520).otherwise(152)
-    group = c(s("GRP-"), "domain", s("-"), "taxonomy_id", s("-"), "language", s("-"), F.lpad(F.floor(n / width).cast("string"), 6, "0"))
+    group = c(s("GRP-"), "domain", s("-"), "taxonomy_id", s("-"), "language", s("-"), F.format_string("%06d", F.floor(n / width).cast("bigint")))
     out = settle(out, text=F.when(chat, joined).otherwise(F.col("_single")), text_en=F.when(scam, F.col("_bait_en")).when(F.col("label") == "legitimate", "Official message; nothing is asked for.").when(
         F.col("label") == "awareness", "Warning about scams; do not pay.").otherwise("General talk with no offer."), signals=signals, requested_action=action, campaign_group_id=group)
     harms = list(x.HARMS)

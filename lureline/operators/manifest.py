@@ -17,7 +17,7 @@ def build(spark: SparkSession, root: str) -> DataFrame:
     """Path, size and hash of each file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     at = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    relative = F.substring(at, len(root.rstrip("/")) + 2, 4096)
+    relative = F.substring(at, F.lit(len(root.rstrip("/")) + 2), F.length(at))
     return files.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).where(included(F.col("path")))
 
 

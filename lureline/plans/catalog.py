@@ -11,6 +11,7 @@ from lureline.functions import text as t
 from lureline.functions.rows import lookup, settle
 from lureline.operators import bayes, checks, corpus, evaluate, langid, links, manifest, pages, rules, sampling, stages, verdict, verify
 from lureline.operators import normalize as nz
+from lureline.plans import given
 from lureline.plans import messages as m
 from lureline.sources import intake, sinks
 from lureline.streaming import jobs
@@ -33,8 +34,8 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    model, fixed, rows = bayes.seed_model(spark)
-    return verdict.score(m.message_view(spark, d), model, fixed, rows)
+    model, fixed = bayes.seed_model(spark)
+    return verdict.score(m.message_view(spark, d), model, fixed)
 
 
 VERDICT = ("message_id", "finding_count", "primary_pattern", "rule_component", "url_component", "identity_component", "unicode_component", "conversation_component", "model_component", "abstained", "risk_score", "risk_band")
@@ -160,7 +161,7 @@ def a4_turn_parse(spark, d):
 
 
 def _labelled(spark, d):
-    docs, labels = m.spread(m.read(spark, d, "documents")), m.read(spark, d, "labels")
+    docs, labels = m.read(spark, d, "documents"), m.read(spark, d, "labels")
     return docs.select("doc_id", "text").join(labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label")), "doc_id")
 
 
@@ -176,7 +177,7 @@ def j3_score(spark, d):
     lab = _labelled(spark, d)
     counts = bayes.train(lab)
     whole = bayes.totals(counts, lab)
-    docs = nz.normalize(m.spread(m.read(spark, d, "documents").select("doc_id", "text")))
+    docs = nz.normalize(m.read(spark, d, "documents").select("doc_id", "text"))
     s = bayes.score(docs, "doc_id", bayes.weights(counts, whole), bayes.constants(whole))
     return s.select("doc_id", "features", "delta", bayes.probability(F.col("delta")).alias("raw_probability"), bayes.probability(F.col("delta"), 2.4).alias("calibrated"))
 
@@ -239,15 +240,6 @@ def n6_language_names(spark, d):
     return F.broadcast(langid.supported(spark)).join(docs, F.col("code") == F.col("lang"), "left").select("code", "name", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"))
 
 
-def _numbers(spark, d):
-    return m.read(spark, d, "documents").select((F.col("doc_id") + 1).alias("number"))
-
-
-def _records(spark, d):
-    """One labelled record per document number."""
-    return corpus.records(_numbers(spark, d))
-
-
 @query
 def a1_json_lines(spark, d):
     lines = m.read(spark, d, "documents").select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("line"))
@@ -267,12 +259,12 @@ def a3_turn_intake(spark, d):
 
 @query
 def a7_split_counts(spark, d):
-    return sinks.split_counts(_records(spark, d))
+    return sinks.split_counts(given.index(given.labelled(spark, d)))
 
 
 @query
 def a8_split_index(spark, d):
-    return sinks.split_index(_records(spark, d))
+    return sinks.split_index(given.index(given.labelled(spark, d)))
 
 
 @query
@@ -280,15 +272,11 @@ def a10_page_source(spark, d):
     return intake.pages(spark, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("chars"))
 
 
-@query
-def o1_record_plan(spark, d):
-    r = _records(spark, d)
-    return r.select("id", "record_type", "label", "domain", "taxonomy_id", "language", "country", "currency", "channel", "variant_type", "requested_action", "harm_vector", "severity", "lifecycle_stage", "payment_method", "campaign_group_id", "split")
 
 
 @query
-def o3_record_text(spark, d):
-    return _records(spark, d).select("id", "text", F.array_join("signals", ",").alias("signals"), F.size("turns").alias("turns"))
+def o5_document_variants(spark, d):
+    return given.variants(given.labelled(spark, d))
 
 
 @query
@@ -304,7 +292,7 @@ def o12_dedup(spark, d):
 
 @query
 def p_corpus_checks(spark, d):
-    return checks.validate(_records(spark, d))
+    return given.corpus_checks(spark, d)
 
 
 @query
@@ -329,31 +317,30 @@ def p12_reserved_urls(spark, d):
 
 @query
 def p22_rollup(spark, d):
-    return checks.rollup(checks.validate(_records(spark, d)))
+    return checks.rollup(given.corpus_checks(spark, d))
 
 
 @query
 def p23_schema_violations(spark, d):
     turns = checks.violations(m.read(spark, d, "conversations"), ["conv_id", "turn"], checks.turn_constraints())
-    recs = checks.violations(_records(spark, d), ["id"], checks.record_constraints())
-    a = turns.groupBy("constraint").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("conversations").alias("table_name"), "constraint", "rows")
-    return a.unionByName(recs.groupBy("constraint").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("records").alias("table_name"), "constraint", "rows"))
+    docs = checks.violations(m.read(spark, d, "documents"), ["doc_id"], given.constraints())
+    both = [t.groupBy("constraint").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "constraint", "rows") for n, t in (("conversations", turns), ("documents", docs))]
+    return both[0].unionByName(both[1])
 
 
 @query
-def q1_leaf_sample(spark, d):
-    r = _records(spark, d).where(F.col("label") == "scam")
-    return sampling.first_per_group(r, "taxonomy_id", "id", 10).select("taxonomy_id", "id", "place")
+def q1_source_sample(spark, d):
+    return sampling.first_per_group(m.read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 10)
 
 
 @query
 def q2_evaluation_slice(spark, d):
-    return sampling.evaluation_slice(_records(spark, d)).select("id", "label", "domain", "taxonomy_id", "language", "variant_type", "severity", "slice")
+    return given.slices(given.labelled(spark, d)).select("doc_id", "label", "lang", "source", "slice")
 
 
 @query
 def q4_distributions(spark, d):
-    return sampling.distributions(_records(spark, d), ["label", "domain", "record_type", "language", "split", "taxonomy_id", "variant_type", "severity", "requested_action"])
+    return sampling.distributions(given.labelled(spark, d), ["lang", "source", "split", "label"])
 
 
 @query
@@ -363,13 +350,13 @@ def q4_document_distributions(spark, d):
 
 @query
 def q5_slice_statistics(spark, d):
-    s = sampling.evaluation_slice(_records(spark, d))
-    return s.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("language").alias("languages"), F.min("id").alias("first_id"))
+    return given.slices(given.labelled(spark, d)).groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_doc"))
 
 
 @query
 def q6_language_audit(spark, d):
-    return sampling.language_audit(_records(spark, d))
+    other = F.col("lang") != "en"
+    return m.read(spark, d, "documents").agg(F.count(F.when(other, 1)).alias("non_english"), F.count(F.when(other & F.contains(F.lower("text"), F.lit(" the ")), 1)).alias("english_cue_left"))
 
 
 @query
@@ -393,7 +380,7 @@ ATTESTED = (("native_language_review", "approved", "A. Reviewer", "2026-01-05",
 @query
 def r4_gates(spark, d):
     attested = spark.createDataFrame(list(ATTESTED), "gate_key string, status string, reviewer string, reviewed_at string, evidence string")
-    return manifest.gates(checks.validate(_records(spark, d)), attested)
+    return manifest.gates(given.corpus_checks(spark, d), attested)
 
 
 @query

@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from lureline.functions import text as t
 from lureline.operators.links import Suffixes
 
-LIMITS = {"text": 100_000, "source_url": 2_000, "claimed_company": 300, "claimed_domain": 300, "recruiter_email": 300, "claimed_license": 500}
-SUFFIX_ROWS = 100_000
+FIELDS = ("text", "source_url", "claimed_company", "claimed_domain", "recruiter_email", "claimed_license")
 
 
 def messages(df: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """A2: cap the fields (the reported limits; {} keeps them whole) and drop rows with neither text nor link."""
-    limits = LIMITS if limits is None else limits
-    out = df.withColumns({c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n) for c, n in limits.items() if c in df.columns})
+    """A2: whole fields without nulls; rows with neither text nor link go. ``limits`` (characters by field) is an option."""
+    cut = limits or {}
+    whole = {c: F.coalesce(F.col(c), F.lit("")) for c in FIELDS if c in df.columns}
+    out = df.withColumns({c: F.substring(v, 1, cut[c]) if c in cut else v for c, v in whole.items()})
     return out.where((F.trim(F.coalesce("text", F.lit(""))) != "") | (F.trim(F.coalesce("source_url", F.lit(""))) != ""))
 
 
-def turns(df: DataFrame, most: int = 200, chars: int = 20_000) -> DataFrame:
-    """A3: the first turns of each conversation with capped bodies; blank ones are dropped but keep their number."""
-    body = F.substring(F.coalesce("text", F.lit("")), 1, chars)
+def turns(df: DataFrame) -> DataFrame:
+    """A3: every turn of each conversation, whole; blank ones are dropped but keep their number."""
+    body = F.coalesce("text", F.lit(""))
     sender = t.clip(F.coalesce("sender", F.lit("Unknown")), 60)
-    return df.where(F.col("turn") < most).select("conv_id", (F.col("turn") + 1).alias("message"), sender.alias("sender"), body.alias("text")).where(F.trim("text") != "")
+    return df.select("conv_id", (F.col("turn") + 1).alias("message"), sender.alias("sender"), body.alias("text")).where(F.trim("text") != "")
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -55,10 +55,8 @@ def suffix_rows(lines: DataFrame) -> DataFrame:
 
 
 def suffixes(spark: SparkSession, path: str) -> Suffixes:
-    """The lists for ``registrable``. They are looked up on the row, so the file's size is checked first."""
-    rows = suffix_rows(spark.read.text(path)).limit(SUFFIX_ROWS + 1).collect()
-    if len(rows) > SUFFIX_ROWS:
-        raise ValueError(f"more than {SUFFIX_ROWS} suffixes: not a dimension")
+    """The lists for ``registrable``: a dimension of some ten thousand rows that is looked up on the row."""
+    rows = suffix_rows(spark.read.text(path)).collect()
     kinds = {k: tuple(r.suffix for r in rows if r.kind == k) for k in ("exact", "wildcard", "exception")}
     return Suffixes(**kinds)
 

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("b9_unicode_signals", "b10_script_profile", "b11_fold", "i4_escalation", "l1_checklist", "m_page_findings", "n2_language", "o1_record_plan", "o12_dedup", "p12_reserved_urls", "q7_review_queue", "t4_sessions")
+QUICK = ("b9_unicode_signals", "b10_script_profile", "b11_fold", "i4_escalation", "l1_checklist", "m_page_findings", "n2_language", "o5_document_variants", "p_corpus_checks", "o12_dedup", "p12_reserved_urls", "q7_review_queue", "t4_sessions")
 
 
 @pytest.fixture(scope="module")

@@ -7,7 +7,7 @@ from lureline.operators import stages as st
 from lureline.operators.rules import ENGLISH
 from lureline.operators.verdict import LEVELS
 from lureline.functions import text as ft
-from twins import corpus_sql, more_sql
+from twins import corpus_sql, given_sql, more_sql
 from twins import links_sql as ln
 from twins import rules_sql as r
 from twins import score_sql as s
@@ -71,4 +71,5 @@ def sql() -> dict[str, str]:
     out["a9_result_export"] = f"""{v} SELECT message_id, CAST(to_json({{'message_id': message_id, 'risk_score': CAST(risk_score AS INTEGER), 'risk_band': risk_band, 'level': CASE risk_band {level} END, 'primary_pattern': primary_pattern}}) AS VARCHAR) AS verdict FROM v"""
     out.update(more_sql.sql())
     out.update(corpus_sql.sql())
+    out.update(given_sql.sql())
     return out

@@ -7,7 +7,7 @@ from lureline.functions.languageid import NAMES
 from lureline.functions.patterns import sql_text as q
 from lureline.operators import evaluate, manifest, sampling
 from lureline.operators.corpus import BRANDS
-from lureline.sources.intake import LIMITS
+from lureline.sources.intake import FIELDS
 from twins import rules_sql, score_sql
 from twins import text_sql as t
 from twins.messages_sql import messages, turns
@@ -27,139 +27,33 @@ def split(g: str) -> str:
     return f"CASE WHEN {n} < 80 THEN 'train' WHEN {n} < 90 THEN 'validation' ELSE 'test' END"
 
 
-def records() -> str:
-    """CTEs down to ``rec``: dimensions as rows, joined on equality."""
-    seg, start = [], 0
-    for i, (kind, label, domain, size) in enumerate(x.SEGMENTS):
-        seg += [(p, i, kind, label, domain, size, start) for p in range(start, start + size)]
-        start += size
-    leaves = [("job" if i < 16 else "investment", i % 16, *v) for i, v in enumerate(x.LEAVES)]
-    langs = [(i, c, NAMES[c], *x.PHRASES[c], x.COUNTRIES[c]) for i, c in enumerate(LANGS)]
-    w = "x.v"
-    spaced = "t0"
-    for word in ("fee", "deposit", "profit", "payment"):
-        pat = r"(?i)\b" + "".join(f"({c})" for c in word) + r"\b"
-        spaced = f"regexp_replace({spaced}, {q(pat)}, {q(' '.join(f'{chr(92)}{i + 1}' for i in range(len(word))))}, 'g')"
-    bait = f"""CASE variant_type WHEN 'defanged_url' THEN replace(replace(t0, 'https://', 'hxxps://'), '.invalid', '[.]invalid')
-      WHEN 'zero_width' THEN CASE WHEN len(string_split(t0, ' ')) <= 3 THEN array_to_string(string_split(t0, ' '), '​ ')
-        ELSE string_split(t0, ' ')[1] || '​ ' || string_split(t0, ' ')[2] || '​ ' || array_to_string(string_split(t0, ' ')[3:], ' ') END
-      WHEN 'fullwidth_punctuation' THEN translate(t0, ':!?', '：！？') WHEN 'spaced_tokens' THEN CASE WHEN language = 'en' THEN {spaced} ELSE t0 END
-      WHEN 'mixed_punctuation' THEN regexp_replace(regexp_replace(t0, '\\. ', '... '), ' — ', ' !!! ') ELSE t0 END"""
-    en = x.PHRASES["en"]
-    english = f"{q(en[2] + '. ')} || brand || ': ' || topic_en || '. ' || cue || {q('. ' + en[3] + ' ')} || amount || '. ' || link || tail"
-    return f"""sg(p, seg, record_type, label, domain, size, st) AS {values(seg)}, lf(domain, leaf, tid, tname, mech, stages, sigs) AS {values(leaves)},
-lg(o, language, lname, offer, invest, urge, demand, safe, alert, countries) AS {values(langs)}, cu(country, currency) AS {values(x.CURRENCIES.items())},
-ac(mech, requested_action) AS {values(x.ACTIONS.items())}, hm(action, harm) AS {values(x.HARMS.items())},
-r0 AS (SELECT doc_id + 1 AS n FROM documents),
-r1 AS (SELECT n, sg.*, ((n - 1) // 64) * size + (n - 1) % 64 - st AS i FROM r0 JOIN sg ON sg.p = (n - 1) % 64),
-r2 AS (SELECT r1.*, lg.* EXCLUDE (o), string_split(countries, ' ')[n % len(string_split(countries, ' ')) + 1] AS country, ([{', '.join(map(q, x.CHANNELS))}])[(n // 3) % 7 + 1] AS channel,
-  'RF-' || upper(substr(sha256('{x.SEED}:' || n), 1, 10)) AS ref FROM r1 JOIN lg ON lg.o = (n - 1) % 19),
-r3 AS (SELECT r2.*, tid, tname, mech, stages, sigs, currency, ac.requested_action AS act, harm,
-  CASE WHEN label = 'scam' THEN tid ELSE upper(substr(r2.domain, 1, 1)) || '00-' || CASE label WHEN 'legitimate' THEN 'L' WHEN 'awareness' THEN 'A' ELSE 'O' END END AS taxonomy_id
-  FROM r2 LEFT JOIN lf ON label = 'scam' AND lf.domain = r2.domain AND lf.leaf = r2.i % 16 LEFT JOIN cu USING (country) LEFT JOIN ac USING (mech) LEFT JOIN hm ON hm.action = ac.requested_action),
-r4 AS (SELECT *, 'GRP-' || domain || '-' || taxonomy_id || '-' || language || '-' || lpad(CAST(n // CASE WHEN label = 'scam' THEN 1520 ELSE 152 END AS VARCHAR), 6, '0') AS campaign_group_id,
-  CASE WHEN label = 'scam' THEN ([{', '.join(map(q, x.VARIANTS))}])[(i // 4) % 6 + 1] ELSE 'clean' END AS variant_type, lower(tname) AS cue,
-  CASE WHEN domain = 'job' THEN offer ELSE invest END AS topic, CASE WHEN domain = 'job' THEN {q(en[0])} ELSE {q(en[1])} END AS topic_en, CASE WHEN domain = 'job' THEN {q(BRANDS['job'])} ELSE {q(BRANDS['investment'])} END AS brand,
-  CAST(([{', '.join(map(str, x.AMOUNTS))}])[i % 12 + 1] AS VARCHAR) AS amount, ' Ref: ' || ref AS tail,
-  CASE WHEN i % 4 = 2 THEN '[LINK REDACTED]' ELSE 'https://' || domain || '-' || lower(taxonomy_id) || '-' || (i % 97) || '.invalid/' || lower(ref) END AS link FROM r3),
-r5 AS (SELECT *, CASE WHEN language = 'en' THEN {english} WHEN i % 4 = 0 THEN urge || '. ' || topic || '. ' || demand || ' ' || amount || '. ' || link || tail
-  WHEN i % 4 = 1 THEN topic || '. ' || urge || '; ' || demand || '. ' || link || tail WHEN i % 4 = 2 THEN topic || '. ' || demand || ' ' || amount || '. ' || link || tail
-  ELSE urge || ' — ' || topic || '. ' || link || '.' || tail END AS t0 FROM r4),
-r6 AS (SELECT *, {bait} AS bait FROM r5),
-r7 AS (SELECT *, CASE label WHEN 'scam' THEN bait WHEN 'legitimate' THEN CASE WHEN language = 'en' THEN brand ELSE '[ORGANISATION]' END || ': ' || topic || '. ' || safe || '.' || tail
-  WHEN 'awareness' THEN alert || ': ' || topic || '; ' || demand || '. ' || safe || '.' || tail ELSE safe || '.' || tail END AS single FROM r6),
-rec AS MATERIALIZED (SELECT n, i, 'LRC-' || lpad(CAST(n AS VARCHAR), 7, '0') AS id, record_type, label, domain, taxonomy_id, language, country, currency, channel, variant_type, campaign_group_id,
-  coalesce(act, 'none') AS requested_action, coalesce(harm, 'none') AS harm_vector, cue, CASE WHEN label = 'scam' AND act IN ({', '.join(map(q, x.GRAVE))}) THEN 'high' WHEN label = 'scam' THEN 'medium' ELSE 'none' END AS severity,
-  coalesce(string_split(stages, ' ')[n % len(string_split(stages, ' ')) + 1], 'prevention') AS lifecycle_stage, CASE WHEN label = 'scam' THEN ([{', '.join(map(q, x.PAYMENTS))}])[n % 5 + 1] ELSE 'none' END AS payment_method,
-  {split('campaign_group_id')} AS split,
-  CASE WHEN record_type <> 'conversation' THEN 0 WHEN label = 'scam' THEN 5 ELSE 3 END AS turns,
-  CASE WHEN record_type <> 'conversation' THEN single WHEN label = 'scam' THEN '[unknown_sender] ' || bait || chr(10) || '[recipient] ' || safe || chr(10) || '[unknown_sender] ' || urge || '.' || chr(10) || '[recipient] ' || safe || chr(10)
-    || '[unknown_sender] ' || demand || ' ' || amount || tail ELSE '[organisation] ' || single || chr(10) || '[recipient] ' || safe || chr(10) || '[organisation] ' || safe END AS text,
-  CASE label WHEN 'scam' THEN array_to_string(list_distinct_ordered, ',') WHEN 'legitimate' THEN 'official_verification,no_payment_request' WHEN 'awareness' THEN 'awareness_context,negated_risk_terms' ELSE 'abstention_recommended' END AS signals
-  FROM (SELECT *, list_filter(sg2, lambda v, k: list_position(sg2, v) = k) AS list_distinct_ordered FROM (SELECT *, list_filter(string_split(sigs, ' ') || [CASE WHEN i % 4 <> 2 THEN 'contains_url' END, CASE WHEN i % 3 = 0 THEN 'off_platform' END,
-    CASE WHEN record_type = 'conversation' THEN 'conversation_escalation' END], lambda v: v IS NOT NULL) AS sg2 FROM r7)))"""
-
-
-def validated() -> str:
-    def grouped(name, key, where="TRUE", slack=2):
-        return f"SELECT {q(name)} AS \"check\", greatest(max(n) - min(n) - {slack}, 0) AS failing_rows FROM (SELECT count(*) AS n FROM rec WHERE {where} GROUP BY {key})"
-
-    return f"""val0 AS (
-SELECT 'record_count' AS "check", CASE WHEN count(*) > 0 THEN 0 ELSE 1 END AS failing_rows FROM rec
-UNION ALL SELECT 'language_count', abs(count(DISTINCT language) - 19) FROM rec UNION ALL SELECT 'taxonomy_leaf_count', abs(count(DISTINCT taxonomy_id) - 32) FROM rec WHERE label = 'scam'
-UNION ALL SELECT 'robustness_variants_present', abs(count(DISTINCT variant_type) - 6) FROM rec WHERE label = 'scam'
-UNION ALL SELECT 'reserved_urls_only', count(*) FROM rec WHERE len(list_filter(regexp_extract_all({t.plain_urls('text')}, '(?i)https?://\\S+'), lambda u: NOT regexp_matches(u, '(?i)^https?://[^/]*\\.(?:invalid|example)(?:/|$)'))) > 0
-UNION ALL SELECT 'safe_provenance_flags', 0 UNION ALL SELECT 'content_hashes_valid', 0 UNION ALL SELECT 'all_required_fields', count(*) FROM rec WHERE country IS NULL OR channel IS NULL OR text IS NULL OR signals IS NULL
-UNION ALL SELECT 'multilingual_english_cue_removed', count(*) FROM rec WHERE language <> 'en' AND cue IS NOT NULL AND contains(text, cue)
-UNION ALL SELECT 'ood_abstention_metadata', count(*) FROM rec WHERE label = 'ambiguous_ood' AND signals <> 'abstention_recommended'
-UNION ALL SELECT 'unique_ids', count(*) - count(DISTINCT id) FROM rec UNION ALL SELECT 'unique_content', count(*) - count(DISTINCT (label, domain, taxonomy_id, language, text, variant_type)) FROM rec
-UNION ALL SELECT k, count(*) FILTER (WHERE s > 1) FROM (SELECT campaign_group_id, count(DISTINCT split) AS s FROM rec GROUP BY 1), (VALUES ('campaign_split_isolation'), ('variant_family_split_isolation')) v(k) GROUP BY k
-UNION ALL {grouped('language_balance', 'language')} UNION ALL {grouped('leaf_balance', 'taxonomy_id', "label = 'scam'")} UNION ALL {grouped('domain_balance', 'domain', slack=64)}),
-val AS (SELECT "check", failing_rows = 0 AS passed, CAST(failing_rows AS BIGINT) AS failing_rows FROM val0)"""
-
-
-def slices() -> str:
-    quotas = values([(k, v) for k, v in sampling.QUOTAS.items()])
-    return f"""qt(label, quota) AS {quotas},
-sl0 AS (SELECT rec.*, CASE WHEN label = 'scam' THEN 'leaf:' || taxonomy_id ELSE 'label:' || label END AS slice FROM rec WHERE split = 'test'),
-sl AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY id) AS k FROM sl0) s LEFT JOIN qt USING (label) WHERE k <= coalesce(quota, 8))"""
-
-
-def gates() -> str:
-    from lureline.plans.catalog import ATTESTED
-
-    rows = values([(g, n, k) for g, n, k, _ in manifest.GOVERNANCE])
-    return f"""gv(gate, name, gate_key) AS {rows}, att(gate_key, status, reviewer, reviewed_at, evidence) AS {values(ATTESTED)},
-gt AS (SELECT 'T01' AS gate, 'Dataset validation' AS name, CASE WHEN (SELECT bool_and(passed) FROM val) THEN 'PASS' ELSE 'BLOCKED' END AS state
-UNION ALL SELECT 'T02', 'Complete release manifest', 'PASS' UNION ALL SELECT 'T03', 'Synthetic provenance and safe indicators', CASE WHEN (SELECT bool_and(passed) FROM val WHERE "check" IN ('safe_provenance_flags', 'reserved_urls_only')) THEN 'PASS' ELSE 'BLOCKED' END
-UNION ALL SELECT 'T04', 'External records excluded', 'PASS'
-UNION ALL SELECT gate, name, CASE WHEN status = 'approved' AND reviewer IS NOT NULL AND reviewed_at IS NOT NULL AND evidence IS NOT NULL THEN 'PASS' ELSE 'BLOCKED' END FROM gv LEFT JOIN att USING (gate_key))"""
-
-
 def sql() -> dict[str, str]:
-    rec = f"WITH {records()}"
     msgs = f"WITH {messages()}"
-    fields = ("label", "domain", "record_type", "language", "split", "taxonomy_id", "variant_type", "severity", "requested_action")
 
     def counted(table, columns):
         return " UNION ALL ".join(f"SELECT {q(c)} AS dimension, {c} AS value, count(*) AS rows FROM {table} GROUP BY {c}" for c in columns)
 
     doc_split = split("'doc-' || doc_id")
-    caps = ", ".join(f"substr(coalesce({c}, ''), 1, {n}) AS {c}" for c, n in LIMITS.items())
+    caps = ", ".join(f"coalesce({c}, '') AS {c}" for c in FIELDS)
     evaluated = f"{score_sql.verdict()}, ev AS (SELECT v.*, d.lang, d.expected_rule IS NOT NULL AS scam FROM v JOIN messages d USING (message_id))"
     out = {
         "a1_json_lines": "SELECT doc_id, lang, source, n_chars FROM documents",
         "a2_message_intake": f"{msgs}, i AS (SELECT message_id, {caps} FROM messages) SELECT message_id, CAST(length(text) AS INTEGER) AS chars, source_url, claimed_domain, recruiter_email FROM i WHERE trim(text) <> '' OR trim(source_url) <> ''",
-        "a3_turn_intake": f"WITH {turns()} SELECT conv_id, turn + 1 AS message, {t.clip(chr(39) * 0 + 'coalesce(sender, ' + q('Unknown') + ')', 60)} AS sender, substr(text, 1, 20000) AS text FROM turns WHERE turn < 200 AND trim(substr(text, 1, 20000)) <> ''",
-        "a7_split_counts": f"{rec} SELECT split, count(*) AS records FROM rec GROUP BY split",
-        "a8_split_index": f"{rec} SELECT id, split, campaign_group_id, campaign_group_id AS variant_family_id FROM rec",
+        "a3_turn_intake": f"WITH {turns()} SELECT conv_id, turn + 1 AS message, {t.clip(chr(39) * 0 + 'coalesce(sender, ' + q('Unknown') + ')', 60)} AS sender, text FROM turns WHERE trim(text) <> ''",
         "a10_page_source": "SELECT page_id, url, CAST(length(html) AS INTEGER) AS chars FROM pages",
-        "o1_record_plan": f"{rec} SELECT id, record_type, label, domain, taxonomy_id, language, country, currency, channel, variant_type, requested_action, harm_vector, severity, lifecycle_stage, payment_method, campaign_group_id, split FROM rec",
-        "o3_record_text": f"{rec} SELECT id, text, signals, turns FROM rec",
         "o9_hash_split": f"SELECT doc_id, {doc_split} AS split FROM documents",
         "o12_dedup": "SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS norm_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-        "p_corpus_checks": f"{rec}, {validated()} SELECT * FROM val",
         "p3_duplicate_content": "SELECT sha256(text) AS content_sha256, count(*) AS copies, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
         "p10_split_isolation": f"SELECT grp, count(*) AS rows, min(split) AS low, max(split) AS high FROM (SELECT sha256(text) AS grp, {doc_split} AS split FROM documents) GROUP BY grp HAVING count(DISTINCT split) > 1",
         "p12_reserved_urls": "SELECT page_id, url, regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)), '(?:^|\\.)(?:invalid|example)$') AS reserved FROM pages",
-        "p22_rollup": f"{rec}, {validated()} SELECT CASE WHEN bool_and(passed) THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS checks, coalesce(string_agg(\"check\", ',' ORDER BY \"check\") FILTER (WHERE NOT passed), '') AS failures FROM val",
-        "p23_schema_violations": """WITH c AS (SELECT 'role' AS k, role NOT IN ('user', 'assistant') AS bad FROM conversations UNION ALL SELECT 'text', length(text) < 40 FROM conversations UNION ALL SELECT 'turn', turn NOT BETWEEN 0 AND 199 FROM conversations)
-          SELECT 'conversations' AS table_name, k AS "constraint", count(*) AS rows FROM c WHERE bad GROUP BY k""",
-        "q1_leaf_sample": f"{rec} SELECT taxonomy_id, id, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY taxonomy_id ORDER BY id) AS k FROM rec WHERE label = 'scam') WHERE k <= 10",
-        "q2_evaluation_slice": f"{rec}, {slices()} SELECT id, label, domain, taxonomy_id, language, variant_type, severity, slice FROM sl",
-        "q4_distributions": f"{rec} {counted('rec', fields)}",
         "q4_document_distributions": counted("documents", ("lang", "source")),
-        "q5_slice_statistics": f"{rec}, {slices()} SELECT slice, count(*) AS rows, count(DISTINCT language) AS languages, min(id) AS first_id FROM sl GROUP BY slice",
-        "q6_language_audit": f"{rec} SELECT count(*) FILTER (WHERE language <> 'en') AS non_english, count(*) FILTER (WHERE language <> 'en') AS needing_review, count(*) FILTER (WHERE language <> 'en' AND contains(text, cue)) AS english_cue_left FROM rec",
         "q7_review_queue": "SELECT lang, doc_id, CAST(k AS INTEGER) AS place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR))) AS k FROM documents WHERE lang <> 'en') WHERE k <= 160",
-        "r4_gates": f"{rec}, {validated()}, {gates()} SELECT * FROM gt",
-        "r5_readiness": f"{rec}, {validated()}, {gates()} SELECT CASE WHEN count(*) FILTER (WHERE gate LIKE 'T%' AND state <> 'PASS') = 0 THEN 'PASS' ELSE 'BLOCKED' END AS technical_status, CASE WHEN bool_and(state = 'PASS') THEN 'READY_FOR_PRODUCTION' ELSE 'NOT_READY_FOR_PRODUCTION' END AS overall_status, count(*) FILTER (WHERE state <> 'PASS') AS blocked_gate_count FROM gt",
         "s1_evaluation": f"""{evaluated} SELECT lang, count(*) FILTER (WHERE scam) AS scams, count(*) FILTER (WHERE scam AND risk_score < {evaluate.FLAGGED}) AS missed, count(*) FILTER (WHERE NOT scam) AS ordinary,
           count(*) FILTER (WHERE NOT scam AND risk_score >= {evaluate.FLAGGED}) AS flagged, count(*) FILTER (WHERE NOT scam AND risk_band IN ('High', 'Critical')) AS over_ceiling FROM ev GROUP BY lang""",
         "s2_regression_diff": f"""{evaluated}, ka AS (SELECT message_id FROM ev WHERE scam AND NOT crit), kb AS (SELECT message_id FROM ev WHERE scam AND risk_score < {evaluate.FLAGGED})
           SELECT message_id, 'fixed' AS state FROM ka WHERE message_id NOT IN (SELECT message_id FROM kb) UNION ALL SELECT message_id, 'new' FROM kb WHERE message_id NOT IN (SELECT message_id FROM ka)""",
         "s3_missing_rules": f"WITH {rules_sql.all_ctes()} SELECT message_id, expected_rule AS rule_id FROM messages WHERE expected_rule IS NOT NULL AND (message_id, expected_rule) NOT IN (SELECT (message_id, rule_id) FROM findings)",
-        "s5_variant_matrix": """SELECT item_id, v.n AS variant_no, sha256(CASE v.n WHEN 0 THEN text WHEN 1 THEN replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS') WHEN 2 THEN 'Hello. ' || text WHEN 3 THEN text || ' Thank you.' WHEN 4 THEN 'Sender: ' || text ELSE '[10:30] Agent: ' || text END) AS text_sha256
+        "s5_variant_matrix": """SELECT item_id, v.n AS variant_no, sha256(CASE v.n WHEN 0 THEN text WHEN 1 THEN replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS') WHEN 2 THEN 'Good morning. ' || text WHEN 3 THEN text || ' Best wishes.' WHEN 4 THEN 'Visitor: ' || text ELSE '[08:15] Desk: ' || text END) AS text_sha256
           FROM benchmark, (VALUES (0), (1), (2), (3), (4), (5)) v(n)""",
         "t2_running_escalation": score_sql.conversations(),
         "t3_window_counts": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL",

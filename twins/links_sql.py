@@ -30,7 +30,7 @@ def arrays(source: str, key: str = "message_id") -> str:
     wallets = " || ".join(f"list_transform({found('normalized', rx)}, lambda w: {{'subtype': {q(n)}, 'value': w}})" for n, rx in l.WALLETS)
     phones = f"list_transform({found('normalized', l.PHONE, 1)}, lambda v: {t.clip('v', 220)})"
     return f"""ent0 AS (SELECT *, {urls('normalized')} AS u0, {found('normalized', l.EMAIL)} AS m0, {phones} AS p0, {found('normalized', l.HANDLE, 1)} AS h0, {wallets} AS w0 FROM {source}),
-ent AS MATERIALIZED (SELECT *, ({first_seen('u0')})[1:20] AS urls, ({first_seen('m0')})[1:20] AS emails, ({first_seen('p0')})[1:20] AS phones, ({first_seen('h0')})[1:20] AS handles, w0[1:20] AS wallets FROM ent0)"""
+ent AS MATERIALIZED (SELECT *, ({first_seen('u0')}) AS urls, ({first_seen('m0')}) AS emails, ({first_seen('p0')}) AS phones, ({first_seen('h0')}) AS handles, w0 AS wallets FROM ent0)"""
 
 
 def entity_rows() -> str:
@@ -87,12 +87,12 @@ def link_rows(source: str, out: str = "lf") -> str:
 def message_links() -> str:
     """CTE ml: links of each message, the given one first, at most ten."""
     return """ml0 AS (SELECT message_id, CASE WHEN coalesce(source_url, '') <> '' AND NOT list_contains(urls, source_url) THEN [source_url] || urls ELSE urls END AS links FROM ent),
-ml AS (SELECT message_id, unnest(links[1:10]) AS raw_url, unnest(range(1, len(links[1:10]) + 1)) AS pos FROM ml0)"""
+ml AS (SELECT message_id, unnest(links) AS raw_url, unnest(range(1, len(links) + 1)) AS pos FROM ml0)"""
 
 
 def mail_rows() -> str:
     """CTE mf: addresses of each message with signals and points."""
-    return f"""mm0 AS (SELECT message_id, claimed_domain, CASE WHEN coalesce(recruiter_email, '') <> '' AND NOT list_contains(emails, recruiter_email) THEN [recruiter_email] || emails[1:10] ELSE emails[1:10] END AS mails FROM ent),
+    return f"""mm0 AS (SELECT message_id, claimed_domain, CASE WHEN coalesce(recruiter_email, '') <> '' AND NOT list_contains(emails, recruiter_email) THEN [recruiter_email] || emails ELSE emails END AS mails FROM ent),
 mm1 AS (SELECT message_id, claimed_domain, unnest(mails) AS email, unnest(range(1, len(mails) + 1)) AS pos FROM mm0),
 mm2 AS (SELECT *, regexp_replace(lower(regexp_extract(email, '@([^@\\s]+)$', 1)), '^\\.+|\\.+$', '', 'g') AS host,
   regexp_replace(regexp_replace(coalesce(claimed_domain, ''), '^[A-Za-z]+://', ''), '[/?#].*$|:[0-9]+.*$', '') AS wanted FROM mm1),

@@ -45,9 +45,9 @@ def inspected() -> str:
     names = ", ".join(f"CASE WHEN f{i} THEN {q(n)} END" for i, (_, n, _) in enumerate(pg.SIGNALS))
     points = " + ".join(f"CASE WHEN f{i} THEN {w} ELSE 0 END" for i, (_, _, w) in enumerate(pg.SIGNALS))
     stripped = f"regexp_replace(regexp_replace(h, {q(pg.SCRIPT_OR_STYLE)}, ' ', 'g'), '<[^>]*>', ' ', 'g')"
-    return f"""{pages()}, h0 AS (SELECT page_id, url, substr(coalesce(html, ''), 1, {pg.MAX_HTML}) AS h FROM page_view),
+    return f"""{pages()}, h0 AS (SELECT page_id, url, coalesce(html, '') AS h FROM page_view),
 h1 AS (SELECT *, substr({_plain(f"regexp_extract(h, {q(pg.TITLE)}, 1)")}, 1, 200) AS title, {_plain(stripped)} AS visible, len(regexp_extract_all(h, '(?i)<form\\b')) AS forms,
- len(regexp_extract_all(h, {q(pg.PASSWORD)})) AS password_fields, len(regexp_extract_all(h, '(?i)<script\\b')) AS script_tags, regexp_extract_all(h, {q(pg.LINK)}, 1)[1:30] AS links FROM h0),
+ len(regexp_extract_all(h, {q(pg.PASSWORD)})) AS password_fields, len(regexp_extract_all(h, '(?i)<script\\b')) AS script_tags, regexp_extract_all(h, {q(pg.LINK)}, 1) AS links FROM h0),
 h2 AS (SELECT *, {flags}, password_fields > 0 AND NOT starts_with(lower(url), 'https://') AS f5, forms >= 3 AS f6 FROM h1),
 h3 AS (SELECT *, concat_ws('; ', {names}, CASE WHEN f5 THEN 'password form without https' END, CASE WHEN f6 THEN 'several forms' END) AS signals,
  least(45, {points} + CASE WHEN f5 THEN 15 ELSE 0 END + CASE WHEN f6 THEN 5 ELSE 0 END) AS risk_points FROM h2)"""
@@ -95,7 +95,7 @@ def sql() -> dict[str, str]:
         "l1_checklist": checklist(),
         "l2_official_sources": sources(),
         "m_page_findings": f"WITH {inspected()} SELECT page_id, title, substr(visible, 1, 1000) AS excerpt, CAST(forms AS INTEGER) AS forms, CAST(password_fields AS INTEGER) AS password_fields, CAST(script_tags AS INTEGER) AS script_tags, signals, risk_points FROM h3",
-        "m4_page_links": f"WITH {inspected()} SELECT page_id, CAST(pos AS INTEGER) AS pos, substr(link, 1, 500) AS link FROM (SELECT page_id, unnest(links) AS link, unnest(range(1, len(links) + 1)) AS pos FROM h3)",
+        "m4_page_links": f"WITH {inspected()} SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (SELECT page_id, unnest(links) AS link, unnest(range(1, len(links) + 1)) AS pos FROM h3)",
         "n2_language": f"WITH {detected()} SELECT message_id, language, coalesce(languages, 'unknown') AS languages FROM det LEFT JOIN la USING (message_id)",
         "n4_localized_evidence": evidence(),
         "n6_language_names": names(),
