@@ -195,7 +195,7 @@ def k5_band_counts(spark, d):
 @query
 def a9_result_export(spark, d):
     v = _verdicts(spark, d)
-    doc = F.struct("message_id", "risk_score", "risk_band", "level", "primary_pattern")
+    doc = F.struct("message_id", "input_sha256", "risk_score", "risk_band", F.col("risk_band").alias("verdict"), "level", "primary_pattern", "summary", "has_critical", F.col("rule_ids").alias("findings"), F.col("rule_ids").alias("warnings"), "actions")
     return v.select("message_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("verdict"))
 
 

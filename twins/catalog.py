@@ -68,7 +68,13 @@ def sql() -> dict[str, str]:
     out["k_verdict"] = f"{v} SELECT {s.VERDICT_COLUMNS} FROM v"
     out["k5_band_counts"] = f"{v} SELECT risk_band, count(*) AS messages, CAST(sum(risk_score) AS BIGINT) AS score_sum, CAST(max(risk_score) AS INTEGER) AS top_score FROM v GROUP BY risk_band"
     level = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LEVELS.items())
-    out["a9_result_export"] = f"""{v} SELECT message_id, CAST(to_json({{'message_id': message_id, 'risk_score': CAST(risk_score AS INTEGER), 'risk_band': risk_band, 'level': CASE risk_band {level} END, 'primary_pattern': primary_pattern}}) AS VARCHAR) AS verdict FROM v"""
+    out["a9_result_export"] = f"""{v}, act AS (SELECT message_id, action, min(ord) AS o FROM findings GROUP BY message_id, action),
+      act6 AS (SELECT message_id, list(action ORDER BY o) AS actions FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY o) AS k FROM act) WHERE k <= 6 GROUP BY message_id),
+      ids AS (SELECT message_id, list(rule_id ORDER BY ord) AS ids FROM findings GROUP BY message_id), texts AS (SELECT message_id, sha256(text) AS sha FROM messages)
+      SELECT v.message_id, CAST(to_json({{'message_id': v.message_id, 'input_sha256': sha, 'risk_score': CAST(risk_score AS INTEGER), 'risk_band': risk_band, 'verdict': risk_band, 'level': CASE risk_band {level} END, 'primary_pattern': primary_pattern,
+        'summary': risk_band || ': ' || CAST(n AS INTEGER) || ' findings, ' || primary_pattern, 'has_critical': crit, 'findings': coalesce(ids, []), 'warnings': coalesce(ids, []),
+        'actions': coalesce(actions, ['Verify the sender and the offer through official channels found independently before acting.'])}}) AS VARCHAR) AS verdict
+      FROM v LEFT JOIN act6 USING (message_id) LEFT JOIN ids USING (message_id) JOIN texts USING (message_id)"""
     out.update(more_sql.sql())
     out.update(corpus_sql.sql())
     out.update(given_sql.sql())
