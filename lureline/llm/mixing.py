@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lureline.llm.common import WORD, cut, packed, row_key
 
-STEPS = 1024
+STEPS, PARTS = 1024, 64
 
 
 def _draw(seed: int, *parts: Column) -> Column:
@@ -60,7 +60,9 @@ def mix(docs: DataFrame, entropy: float = 0.97, repeats: float = 4.0, seed: int
     z, per = powers.agg(F.sum("p"), F.max(F.col("tokens") / F.col("p"))).first()
     quotas = powers.select("source", (F.col("p") / F.lit(z)).alias("weight"), F.round(F.col("p") * F.lit(per)).cast("long").alias("quota"))
     plan = sizes.join(quotas, "source", "left").select("source", "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.ceil(F.col("n_docs") / block_docs).cast("long").alias("blocks"), F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(1).cast("long").alias("whole"), F.when(F.col("tokens") > 0, F.expr("quota % tokens")).otherwise(0).cast("long").alias("rest"))
-    placed = rows.join(plan, "source").withColumn("block", F.pmod(F.conv(F.substring(_draw(seed, F.coalesce(F.col("doc_id"), F.lit(-1))), 1, 8), 16, 10).cast("long"), F.col("blocks")))
+    # Dealt by source and a part of it, so that a hot source is joined in many tasks.
+    parts = plan.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(parts, ["source", "part"]).drop("part").withColumn("block", F.pmod(F.conv(F.substring(_draw(seed, F.coalesce(F.col("doc_id"), F.lit(-1))), 1, 8), 16, 10).cast("long"), F.col("blocks")))
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1))))
     of_blocks = placed.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("in_block"))
     order = Window.partitionBy("source", "epoch").orderBy("drawn", "block").rowsBetween(Window.unboundedPreceding, -1)
