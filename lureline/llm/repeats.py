@@ -234,11 +234,12 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     Null texts and texts shorter than `length` have none. Matches never cross texts. Repeated rows are each other's copies.
     """
     rows = cut(span_rows(docs, length))
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Written first, so that the join's hot anchors are split (or the small side is broadcast) by its known size.
+    often = cut(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     shared = cut(rows.join(often, "anchor", "left_semi"))
     kinds = shared.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "at", "windows")).alias("one"))
     kinds = cut(kinds.select("anchor", "span", "n", "one.*"))
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("windows") + length).alias("bytes")).filter("spans > 1")
+    groups = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("windows") + length).alias("bytes")).filter("spans > 1"))
     # A span found several times repeats as a whole; of the others, those with company are looked into.
     open_kinds = kinds.join(groups, "anchor")
     texts = cut(texts_of_spans(docs, open_kinds.select("rk", "at", "windows", "anchor", "span"), length).join(groups.select("anchor", (F.col("bytes") > INDEX_BYTES).alias("large")), "anchor"))
