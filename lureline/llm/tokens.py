@@ -7,43 +7,73 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 #: A single blank between two other characters always begins a new pre-token of byte-level BPE, so ids of the pieces between such
 #: blanks, each with its blank in front, are the ids of the text.
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _OTHER = re.compile(r"\s | \s")
-#: Pieces kept, and the longest piece kept: at most about 150 MB in each Python worker.
-KEPT, LONGEST = 500_000, 64
+#: Pieces kept in each of two generations, and the longest piece kept: at most about 150 MB in each Python worker.
+KEPT, LONGEST = 350_000, 64
 
 
 class Encoder:
-    """encode(texts): for each text its ids as little-endian unsigned 32-bit integers."""
+    """encode(texts): for each text its ids as little-endian unsigned 32-bit integers.
+
+    For byte-level BPE, ids of pieces are remembered; other tokenizers encode whole texts.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.by_pieces = "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the blank in byte-level BPE
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces with a blank in front. They are encoded as one text; a token that opens with a blank opens the next piece."""
+        out = []
+        for i in range(0, len(pieces), 2000):
+            some = pieces[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(some) and at[0] == 0:
+                raw, edges = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            else:  # blanks inside a piece
+                out += self._plain([f" {p}" for p in some])
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_pieces:
+            return self._plain(texts)
         split = [_BLANK.split(t) if t[:1] == " " or t[-1:] == " " or _OTHER.search(t) else t.split(" ") for t in texts]
         heads = self._plain([s[0] for s in split])
         wanted: set[str] = set()
         for s in split:
             wanted.update(s[1:])
-        new = list(wanted - self.known.keys())
-        if len(self.known) + len(new) > KEPT:
-            self.known, new = {}, list(wanted)
-        ids = dict(zip(new, self._plain([f" {p}" for p in new]), strict=True))
-        long = {p: v for p, v in ids.items() if len(p) > LONGEST}
-        self.known.update(ids)
-        get = self.known.__getitem__
+        wanted -= self.young.keys()
+        if len(self.young) + len(wanted) > KEPT:
+            self.old, self.young = self.young, {}
+            wanted = set().union(*(s[1:] for s in split))
+        again = wanted & self.old.keys()
+        for p in again:
+            self.young[p] = self.old[p]
+        new = list(wanted - again)
+        self.young.update(zip(new, self._pieces(new), strict=True))
+        get = self.young.__getitem__
         out = [h + b"".join(map(get, s[1:])) for h, s in zip(heads, split, strict=True)]
-        for p in long:
-            del self.known[p]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.young[p]
         return out
 
 
