@@ -33,8 +33,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, with sequence and offset."""
-    return packing.pack(docs, tokenizer_path(), group_docs=8192)
+    """Pieces of token ids (where they start, how long they are, their crc32), with sequence and offset."""
+    return packing.pack(docs, tokenizer_path(), with_ids=False).drop("ids")
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixing", mixed_sources), ("packing", packed_sequences)]
