@@ -54,7 +54,7 @@ def op4_minhash(spark, d):
 
 @query
 def op5_perplexity(spark, d):
-    return perplexity.judged(documents(spark, d)).drop("rk", "n_scored")
+    return perplexity.judged(documents(spark, d), least=perplexity.BINS).drop("rk", "n_scored")
 
 
 @query
