@@ -1,9 +1,8 @@
 """License scans with a positional index of rare words, in SQL functions only.
 
 A template is a run of words with mandatory phrases. Document frequencies of the licence words (the templates' words) are counted over all
-documents. Of each file, the licence words with the highest inverse document frequency are looked up in the postings of the templates
-(word, template, place); hits are gathered by relative position, so that words at the template's distances from each other agree on where
-it begins. A template that is covered well enough there, and whose mandatory phrases stand in the file, gives its label.
+documents. Every licence word of a file is looked up in the postings of the templates' rarest words (word, template, place); hits are
+gathered by relative position, so that words at the template's distances from each other agree on where it begins. A template that is covered well enough there, and whose mandatory phrases stand in the file, gives its label.
 """
 
 from __future__ import annotations
@@ -68,7 +67,7 @@ def frequencies(rows: DataFrame) -> dict[str, float]:
     return {w: log((n + 1) / (seen.get(w, 0) + 0.5)) for w in VOCABULARY}
 
 
-def template_labels(rows: DataFrame, idf: dict[str, float], file_words: int, template_words: int, cover: float) -> DataFrame:
+def template_labels(rows: DataFrame, idf: dict[str, float], file_words: int | None, template_words: int, cover: float) -> DataFrame:
     """rk, method_labels, best: the labels of the templates found in each text, and how well the best is covered."""
     postings: dict[str, list[Column]] = {}
     totals = []
@@ -78,13 +77,15 @@ def template_labels(rows: DataFrame, idf: dict[str, float], file_words: int, tem
         for place, w in rare:
             postings.setdefault(w, []).append(F.struct(F.lit(t).alias("t"), F.lit(place).alias("place"), F.lit(idf[w]).alias("idf")))
     index = F.create_map(*[x for w, own in postings.items() for x in (F.lit(w), F.array(*own))])
-    weight = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.lit(-idf[w]))])
     near = rows.filter("words IS NOT NULL").dropDuplicates(["rk"])
     text = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     verified = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a & b, [F.contains(F.col("joined"), F.lit(f" {p} ")) for p in own]), F.lit(t)) for t, (_, _, own) in enumerate(TEMPLATES)]))
-    rarest = F.slice(F.array_sort(F.transform("found", lambda w: F.struct(weight[w].alias("k"), w.alias("w")))), 1, file_words)
-    near = near.withColumn("joined", text).withColumn("verified", verified).withColumn("rarest", rarest.getField("w"))
-    hits = near.filter("size(verified) > 0").select("rk", "verified", "rarest", F.posexplode("words").alias("pos", "w")).filter(F.array_contains("rarest", F.col("w")))
+    sought = F.array(*map(F.lit, sorted(postings)))
+    if file_words is not None:
+        weight = F.create_map(*[x for w in VOCABULARY for x in (F.lit(w), F.lit(-idf[w]))])
+        sought = F.slice(F.array_sort(F.transform("found", lambda w: F.struct(weight[w].alias("k"), w.alias("w")))), 1, file_words).getField("w")
+    near = near.withColumn("joined", text).withColumn("verified", verified).withColumn("sought", sought)
+    hits = near.filter("size(verified) > 0").select("rk", "verified", "sought", F.posexplode("words").alias("pos", "w")).filter(F.array_contains("sought", F.col("w")))
     hits = hits.select("rk", "verified", "pos", F.explode(index[F.col("w")]).alias("h")).filter(F.array_contains("verified", F.col("h.t")))
     places = hits.groupBy("rk", F.col("h.t").alias("t"), (F.col("pos") - F.col("h.place")).alias("at")).agg(F.sum("h.idf").alias("mass"))
     covered = F.col("mass") / F.element_at(F.array(*map(F.lit, totals)), F.col("t") + 1)
@@ -92,12 +93,12 @@ def template_labels(rows: DataFrame, idf: dict[str, float], file_words: int, tem
     return places.select("rk", label.alias("label"), F.least(covered, F.lit(1.0)).alias("covered")).filter(F.col("covered") >= cover).groupBy("rk").agg(F.collect_set("label").alias("method_labels"), F.max("covered").alias("best"))
 
 
-def licences(docs: DataFrame, file_words: int = 24, template_words: int = 8, cover: float = 0.6) -> DataFrame:
+def licences(docs: DataFrame, file_words: int | None = None, template_words: int = 8, cover: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null text: empty, without places. Repeated rows count as often as they are there and get the same labels. Only doc_id and text are
     read. An empty table gives no rows. score: how much of the best template (by inverse document frequency) is covered where it begins;
-    half if there are base places only; else 0.
+    half if there are base places only; else 0. `file_words` looks up only so many of a file's licence words, the rarest; by default all.
     """
     rows = cut(scanned(docs))
     found = template_labels(rows, frequencies(rows), file_words, template_words, cover)

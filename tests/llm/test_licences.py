@@ -55,3 +55,14 @@ def test_given_documents(spark):
     got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert base(got) == by_hand(rows)
     assert sum(r.labels != r.base_labels for r in got) > 5
+
+
+def test_all_notices_in_one_document(spark):
+    """More different licence words than the rarest 24: each notice keeps its label, whatever stands beside it."""
+    whole = ". ".join(notice for _, notice, _ in licences.TEMPLATES)
+    some = ". ".join(notice for label, notice, _ in licences.TEMPLATES if label not in ("agpl-3.0", "cc0-1.0", "mpl-2.0"))
+    got = {r.doc_id: r for r in licences.licences(edge.table(spark, [(1, whole), (2, some), *((i, f"the {i}") for i in range(3, 9))])).collect()}
+    labels = {label for label, _, _ in licences.TEMPLATES}
+    assert set(got[1].labels.split(",")) == labels | set(got[1].base_labels.split(","))
+    assert set(got[2].labels.split(",")) == labels - {"agpl-3.0", "cc0-1.0", "mpl-2.0"} | set(got[2].base_labels.split(","))
+    assert got[1].score == got[2].score == 1.0
