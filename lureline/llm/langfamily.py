@@ -1,7 +1,7 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines inside it.
 
 Both steps use the same features (hashed letter trigrams of the whole text) and the same machine. Only a bounded sample of labelled rows
-is fitted: `sample_docs` of each language, the first in order of a hash; families are fitted in Spark tasks, each by itself.
+is fitted: `sample_docs` different rows of each language, the first in order of a hash; families are fitted in Spark tasks, each by itself.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lureline.llm.common import row_key
 from lureline.llm.tokens import batches
 
 DIMENSIONS = 1 << 12
@@ -136,11 +137,12 @@ def languages(docs: DataFrame, sample_docs: int = 300, folds: int = 5) -> DataFr
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("lang").cast("string").alias("lang"), F.col("text"))
-    # First in order of a hash of the id: no text is moved to choose, only that of the chosen.
-    ids = rows.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.xxhash64("doc_id").alias("draw"))
-    chosen = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).filter(F.col("nth") <= sample_docs).select("lang", "doc_id").distinct()
-    # Its bound: sample_docs for each language.
-    learned = fit(rows.filter("text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "text"))
+    # First in order of a hash of the id, repeated rows being one: no text is moved to choose, only that of the chosen.
+    keyed = rows.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("rk"))
+    ids = keyed.select("lang", "doc_id", "rk").distinct().withColumn("draw", F.xxhash64("doc_id"))
+    chosen = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "rk"))).filter(F.col("nth") <= sample_docs).select("lang", "rk")
+    # Its bound: sample_docs for each language, repeats being dropped in each task before they are shuffled.
+    learned = fit(keyed.join(F.broadcast(chosen), ["lang", "rk"]).select("lang", "rk", "text").distinct().select("lang", "text"))
     model = docs.sparkSession.sparkContext.broadcast(learned)
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

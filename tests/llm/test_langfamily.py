@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lureline.llm import langfamily
 from tests.llm import edge
@@ -37,3 +38,17 @@ def test_edge_table(spark):
 
 def test_an_unknown_language_is_a_family_of_its_own():
     assert langfamily.family_of("xx") == "=xx" and langfamily.family_of("FR") == "romance"
+
+
+def test_rows_of_a_repeated_id_do_not_grow_the_sample(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    first = df.filter("lang = 'en' AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0").orderBy(F.xxhash64("doc_id")).limit(1)
+    samples, fit = [], langfamily.fit
+    monkeypatch.setattr(langfamily, "fit", lambda s: samples.append(sorted(map(tuple, s.collect()))) or fit(s))
+    copies = df.unionAll(first.crossJoin(spark.range(300)).drop("id"))
+    others = df.unionAll(first.crossJoin(spark.range(300)).selectExpr("doc_id", "concat(text, ' ', id)", "lang"))
+    for x in (df, copies, others):
+        langfamily.languages(x, sample_docs=20)
+    plain, repeated, many = samples
+    assert repeated == plain
+    assert max(sum(lang == k for lang, _ in many) for k in ("en", "de", "fr", "es")) <= 20
