@@ -1,4 +1,4 @@
-"""The ten operators as queries with production parameters: (spark, folder of tables) -> DataFrame."""
+"""The operators as queries with production parameters: (spark, folder of tables) -> DataFrame."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.llm import langfamily, licences, mixing, nearjoin, packing, perplexity, planes, repeats, shards, vptree
+from lureline.llm import aligning, bestfit, fim, langfamily, licences, mixing, nearjoin, packing, perplexity, planes, repeats, shards, vptree
 from lureline.llm.common import shared_folder
 
 #: The tokenizer file; another may be given to the operators.
 TOKENIZER = "byte_bpe_50k.json"
+#: The other side of the alignment.
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,10 +23,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -82,3 +84,19 @@ def op10_bit_planes(spark, d):
     folder = shared_folder(spark)
     planes.write_ids(documents(spark, d), folder, tokenizer_path())
     return planes.read_ids(spark, folder).drop("ids")
+
+
+@query
+def op11_best_fit(spark, d):
+    return bestfit.pack(documents(spark, d), tokenizer_path()).drop("ids")
+
+
+@query
+def op13_fill_in_middle(spark, d):
+    out = fim.transform(documents(spark, d))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query
+def op12_interval_coalescing(spark, d):
+    return aligning.align(documents(spark, d), tokenizer_path(), tokenizer_path(PIECE_TOKENIZER)).drop("groups")

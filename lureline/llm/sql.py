@@ -96,9 +96,21 @@ def licences(file_words: int = 24, template_words: int = 8, cover: float = 0.6)
     FROM docs LEFT JOIN bases USING (rid) LEFT JOIN found USING (rid)"""
 
 
+def fill_in_middle(rate: int = 50, spm: int = 80, seed: int = 42) -> str:
+    """Units as a list, cut at the two drawn places. The restored text is the text itself."""
+    h1, h2, h3, h4 = (f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)" for k in range(4))
+    return rf"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    drawn AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {h1} % (len(u) + 1) AS x, {h2} % (len(u) + 1) AS y,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {h3} % 100 >= {rate} THEN 'plain' WHEN {h4} % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form FROM docs),
+    parts AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:n], '') AS s FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts"""
+
+
 ORACLES: dict[str, str] = {
     "op1_temperature_mixing": mixing(),
     "op4_minhash": near_duplicates(),
     "op7_licence_index": licences(),
     "op9_vantage_points": neighbours(),
+    "op13_fill_in_middle": fill_in_middle(),
 }
