@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lureline.functions import text as t
 from lureline.functions.rows import lookup, settle
-from lureline.operators import bayes, checks, corpus, evaluate, langid, links, manifest, pages, rules, sampling, stages, verdict, verify
+from lureline.operators import bayes, checks, corpus, domains, evaluate, langid, links, manifest, pages, rules, sampling, stages, verdict, verify
 from lureline.operators import normalize as nz
 from lureline.plans import given
 from lureline.plans import messages as m
@@ -25,17 +25,31 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _deal(spark: SparkSession) -> int:
+    """The given tables are one row group each; registered queries deal their rows to every core, whatever their size."""
+    return spark.sparkContext.defaultParallelism
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return m.message_view(spark, d, _deal(spark))
+
+
 def _normal(spark: SparkSession, d: str) -> DataFrame:
-    return nz.normalize(m.message_view(spark, d))
+    return nz.normalize(_messages(spark, d))
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     return rules.scan(_normal(spark, d))
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    found = links.entities(_normal(spark, d)).select("message_id", "urls", "emails", "source_url", "claimed_domain", "recruiter_email")
+    return links.link_findings(found, suffixes=domains.suffix_table(spark))
+
+
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     model, fixed = bayes.seed_model(spark)
-    return verdict.score(m.message_view(spark, d), model, fixed)
+    return verdict.score(_messages(spark, d), model, fixed)
 
 
 VERDICT = ("message_id", "finding_count", "primary_pattern", "rule_component", "url_component", "identity_component", "unicode_component", "conversation_component", "model_component", "abstained", "risk_score", "risk_band")
@@ -48,29 +62,29 @@ def b_normalize(spark, d):
 
 @query
 def b1_nfkc_exact(spark, d):
-    return nz.normalize(m.message_view(spark, d), exact=True).select("message_id", F.sha2("normalized", 256).alias("normal_hash"))
+    return nz.normalize(_messages(spark, d), exact=True).select("message_id", F.sha2("normalized", 256).alias("normal_hash"))
 
 
 @query
 def b9_unicode_signals(spark, d):
-    return m.message_view(spark, d).select("message_id", F.array_join(nz.unicode_signals(F.col("text")), "; ").alias("signals"))
+    return _messages(spark, d).select("message_id", F.array_join(nz.unicode_signals(F.col("text")), "; ").alias("signals"))
 
 
 @query
 def b10_script_profile(spark, d):
-    out = nz.script_profile(m.message_view(spark, d))
+    out = nz.script_profile(_messages(spark, d))
     return out.select("message_id", F.array_join("scripts", ",").alias("scripts"), "letter_count", F.round("recognized_ratio", 6).alias("recognized_ratio"))
 
 
 @query
 def b11_fold(spark, d):
-    folded = m.message_view(spark, d).select("message_id", t.fold_accents(F.col("text")).alias("folded"))
+    folded = _messages(spark, d).select("message_id", t.fold_accents(F.col("text")).alias("folded"))
     return folded.select("message_id", "folded", t.fold_german(F.col("folded")).alias("folded_de"))
 
 
 @query
 def b14_fingerprint(spark, d):
-    v = m.message_view(spark, d)
+    v = _messages(spark, d)
     return v.select("message_id", t.fingerprint(F.col("text")).alias("input_sha256"), t.clip(F.col("text"), 220).alias("excerpt"), t.plain_urls(F.col("text")).alias("plain"))
 
 
@@ -95,7 +109,7 @@ def c5_language_rules(spark, d):
 @query
 def d_expected_rules(spark, d):
     """Does each message meet the rule its phrase was written for, and do guarded phrases stay free of it?"""
-    v = m.message_view(spark, d).select("message_id", "expected_rule")
+    v = _messages(spark, d).select("message_id", "expected_rule")
     found = rules.findings_table(_scanned(spark, d)).select("message_id", "rule_id")
     hit = v.join(found, (v.message_id == found.message_id) & (v.expected_rule == found.rule_id), "left_semi").select("message_id", F.lit(1).alias("hit"))
     out = v.join(hit, "message_id", "left").groupBy(F.coalesce("expected_rule", F.lit("-")).alias("expected_rule"))
@@ -109,28 +123,49 @@ def e_entities(spark, d):
 
 @query
 def f_link_risk(spark, d):
-    linked = links.link_findings(links.entities(_normal(spark, d)))
-    x = linked.select("message_id", F.posexplode("link_findings").alias("i", "f"))
+    x = _linked(spark, d).select("message_id", F.posexplode("link_findings").alias("i", "f"))
     return x.select("message_id", (F.col("i") + 1).alias("pos"), "f.url", "f.scheme", "f.host", "f.domain", "f.suffix", "f.valid", F.array_join("f.signals", "; ").alias("signals"), "f.points")
 
 
 @query
 def f_page_links(spark, d):
-    x = m.read(spark, d, "pages").select("page_id", links.inspect_url(F.col("url")).alias("f"))
+    parsed = m.read(spark, d, "pages").select("page_id", links.parsed_url(F.col("url")).alias("x"))
+    placed = domains.with_domains(parsed, "page_id", F.array("x.host"), domains.suffix_table(spark))
+    x = placed.select("page_id", links.judged_url(F.col("x"), F.get("domains", F.lit(0))).alias("f"))
     return x.select("page_id", "f.url", "f.host", "f.domain", "f.suffix", F.array_join("f.signals", "; ").alias("signals"), "f.points")
 
 
+def _hosts(spark, d):
+    """The hosts of all pages and of all links in messages."""
+    seen = _linked(spark, d).select(F.explode("link_findings").alias("f")).select("f.host")
+    return seen.union(m.read(spark, d, "pages").select(links.parsed_url(F.col("url"))["host"]))
+
+
+@query
+def a6_suffix_rows(spark, d):
+    """Lines as in a suffix file, written from the endings of page hosts: plain, wildcard, exception, remark, blank, with outer blanks and capitals."""
+    host = links.parsed_url(F.col("url"))["host"]
+    kind = F.pmod("page_id", F.lit(6))
+    ending = F.when(F.pmod("page_id", F.lit(2)) == 0, F.substring_index(host, ".", -1)).otherwise(F.substring_index(host, ".", -2))
+    line = F.when(kind == 0, F.concat(F.lit("// "), ending)).when(kind == 1, F.concat(F.lit("*."), ending)).when(kind == 2, F.concat(F.lit("!"), host)).when(kind == 3, F.lit("  ")).when(kind == 4, F.concat(F.lit(" "), F.upper(ending), F.lit(" "))).otherwise(ending)
+    return intake.suffix_rows(m.read(spark, d, "pages").select(line.alias("value")))
+
+
+@query
+def g1_registrable(spark, d):
+    return domains.registrable_table(_hosts(spark, d), "host", domains.suffix_table(spark))
+
+
 @query
 def g3_brand_lookalikes(spark, d):
-    linked = links.link_findings(links.entities(_normal(spark, d)))
-    x = linked.select("message_id", F.explode("link_findings").alias("f")).select("message_id", F.col("f.domain").alias("domain"), F.explode("f.brands").alias("brand"))
-    return x.groupBy("domain", "brand").agg(F.countDistinct("message_id").alias("messages"))
+    seen = _linked(spark, d).select("message_id", F.explode("link_findings").alias("f")).select("message_id", F.col("f.domain").alias("domain"))
+    counted = seen.groupBy("domain").agg(F.countDistinct("message_id").alias("messages"))
+    return counted.join(domains.lookalikes(counted, domains.brand_table(spark)), "domain").select("domain", "brand", "messages")
 
 
 @query
 def h_email_identity(spark, d):
-    linked = links.link_findings(links.entities(_normal(spark, d)))
-    x = linked.select("message_id", F.posexplode("email_findings").alias("i", "f"))
+    x = _linked(spark, d).select("message_id", F.posexplode("email_findings").alias("i", "f"))
     return x.select("message_id", (F.col("i") + 1).alias("pos"), "f.email", "f.domain", F.array_join("f.signals", "; ").alias("signals"), "f.points")
 
 
@@ -161,8 +196,8 @@ def a4_turn_parse(spark, d):
 
 
 def _labelled(spark, d):
-    docs, labels = m.read(spark, d, "documents"), m.read(spark, d, "labels")
-    return docs.select("doc_id", "text").join(labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    docs, labels = m.dealt(m.read(spark, d, "documents").select("doc_id", "text"), _deal(spark)), m.read(spark, d, "labels")
+    return docs.join(labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label")), "doc_id")
 
 
 @query
@@ -177,7 +212,7 @@ def j3_score(spark, d):
     lab = _labelled(spark, d)
     counts = bayes.train(lab)
     whole = bayes.totals(counts, lab)
-    docs = nz.normalize(m.read(spark, d, "documents").select("doc_id", "text"))
+    docs = nz.normalize(m.dealt(m.read(spark, d, "documents").select("doc_id", "text"), _deal(spark)))
     s = bayes.score(docs, "doc_id", bayes.weights(counts, whole), bayes.constants(whole))
     return s.select("doc_id", "features", "delta", bayes.probability(F.col("delta")).alias("raw_probability"), bayes.probability(F.col("delta"), 2.4).alias("calibrated"))
 
@@ -201,12 +236,12 @@ def a9_result_export(spark, d):
 
 @query
 def l1_checklist(spark, d):
-    return verify.checklist(m.message_view(spark, d))
+    return verify.checklist(_messages(spark, d))
 
 
 @query
 def l2_official_sources(spark, d):
-    return verify.sources(m.message_view(spark, d))
+    return verify.sources(_messages(spark, d))
 
 
 @query
@@ -223,13 +258,13 @@ def m4_page_links(spark, d):
 
 @query
 def n2_language(spark, d):
-    x = langid.detect(m.message_view(spark, d))
+    x = langid.detect(_messages(spark, d))
     return x.select("message_id", "language", F.array_join("languages", ",").alias("languages"))
 
 
 @query
 def n4_localized_evidence(spark, d):
-    x = langid.evidence(langid.detect(m.message_view(spark, d)))
+    x = langid.evidence(langid.detect(_messages(spark, d)))
     return x.select("message_id", F.array_join("evidence", " | ").alias("evidence"), F.array_join("awareness", " | ").alias("awareness"))
 
 
@@ -248,7 +283,7 @@ def a1_json_lines(spark, d):
 
 @query
 def a2_message_intake(spark, d):
-    out = intake.messages(m.message_view(spark, d))
+    out = intake.messages(_messages(spark, d))
     return out.select("message_id", F.length("text").alias("chars"), "source_url", "claimed_domain", "recruiter_email")
 
 
@@ -389,7 +424,7 @@ def r5_readiness(spark, d):
 
 
 def _evaluated(spark, d):
-    labels = m.message_view(spark, d).select("message_id", "lang", F.col("expected_rule").isNotNull().alias("scam"))
+    labels = _messages(spark, d).select("message_id", "lang", F.col("expected_rule").isNotNull().alias("scam"))
     return _verdicts(spark, d).join(labels, "message_id")
 
 
@@ -408,7 +443,7 @@ def s2_regression_diff(spark, d):
 
 @query
 def s3_missing_rules(spark, d):
-    expected = m.message_view(spark, d).where(F.col("expected_rule").isNotNull()).select("message_id", F.col("expected_rule").alias("rule_id"))
+    expected = _messages(spark, d).where(F.col("expected_rule").isNotNull()).select("message_id", F.col("expected_rule").alias("rule_id"))
     return evaluate.missing_rules(expected, rules.findings_table(_scanned(spark, d)).select("message_id", "rule_id"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lureline.functions import text as t
 from lureline.operators.links import Suffixes
 
 FIELDS = ("text", "source_url", "claimed_company", "claimed_domain", "recruiter_email", "claimed_license")
@@ -19,10 +18,11 @@ def messages(df: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     return out.where((F.trim(F.coalesce("text", F.lit(""))) != "") | (F.trim(F.coalesce("source_url", F.lit(""))) != ""))
 
 
-def turns(df: DataFrame) -> DataFrame:
-    """A3: every turn of each conversation, whole; blank ones are dropped but keep their number."""
+def turns(df: DataFrame, sender_chars: int | None = None) -> DataFrame:
+    """A3: every turn of each conversation, whole; blank ones are dropped but keep their number. ``sender_chars`` is an option."""
     body = F.coalesce("text", F.lit(""))
-    sender = t.clip(F.coalesce("sender", F.lit("Unknown")), 60)
+    sender = F.regexp_replace(F.regexp_replace(F.coalesce("sender", F.lit("Unknown")), r"\s+", " "), r"^ | \z", "")
+    sender = sender if sender_chars is None else F.substring(sender, 1, sender_chars)
     return df.select("conv_id", (F.col("turn") + 1).alias("message"), sender.alias("sender"), body.alias("text")).where(F.trim("text") != "")
 
 
@@ -54,9 +54,20 @@ def suffix_rows(lines: DataFrame) -> DataFrame:
     return kept.select(F.regexp_replace("v", r"^(?:!|\*\.)", "").alias("suffix"), kind.alias("kind")).distinct()
 
 
+def suffix_table(spark: SparkSession, path: str) -> DataFrame:
+    """A public suffix file as a table that hosts meet in a join."""
+    return suffix_rows(spark.read.text(path))
+
+
+#: Suffixes that may become constants on the row; longer lists are joined.
+MOST_SUFFIXES = 1000
+
+
 def suffixes(spark: SparkSession, path: str) -> Suffixes:
-    """The lists for ``registrable``: a dimension of some ten thousand rows that is looked up on the row."""
-    rows = suffix_rows(spark.read.text(path)).collect()
+    """A short list as constants; a longer one is an error that points to ``suffix_table``."""
+    rows = suffix_table(spark, path).limit(MOST_SUFFIXES + 1).collect()
+    if len(rows) > MOST_SUFFIXES:
+        raise ValueError(f"more than {MOST_SUFFIXES} suffixes: use suffix_table")
     kinds = {k: tuple(r.suffix for r in rows if r.kind == k) for k in ("exact", "wildcard", "exception")}
     return Suffixes(**kinds)
 

@@ -50,6 +50,13 @@ def sql() -> dict[str, str]:
     out["f_link_risk"] = f"WITH {lf} SELECT message_id, CAST(pos AS INTEGER) AS pos, url, scheme, host, domain, suffix, valid, signals, points FROM lf"
     out["f_page_links"] = f"WITH src AS (SELECT page_id, url AS raw_url FROM pages), {ln.link_rows('src')} SELECT page_id, url, host, domain, suffix, signals, points FROM lf"
     out["g3_brand_lookalikes"] = f"WITH {lf} SELECT domain, brand, count(DISTINCT message_id) AS messages FROM lf JOIN lf_br USING (domain) GROUP BY domain, brand"
+    out["g1_registrable"] = f"""WITH {lf}, hosts AS (SELECT host FROM lf UNION ALL SELECT {ln.host_of('url')} FROM pages), {ln.domains('hosts', 'host', 'dom')}
+      SELECT raw AS host, valid, domain, suffix FROM dom"""
+    ending = "array_to_string(string_split(host, '.')[-1 - page_id % 2:], '.')"
+    out["a6_suffix_rows"] = f"""WITH h AS (SELECT page_id, {ln.host_of('url')} AS host FROM pages),
+      lines AS (SELECT lower(trim(CASE page_id % 6 WHEN 0 THEN '// ' || {ending} WHEN 1 THEN '*.' || {ending} WHEN 2 THEN '!' || host WHEN 3 THEN '  ' WHEN 4 THEN ' ' || upper({ending}) || ' ' ELSE {ending} END)) AS v FROM h)
+      SELECT DISTINCT CASE WHEN starts_with(v, '!') THEN substr(v, 2) WHEN starts_with(v, '*.') THEN substr(v, 3) ELSE v END AS suffix,
+        CASE WHEN starts_with(v, '!') THEN 'exception' WHEN starts_with(v, '*.') THEN 'wildcard' ELSE 'exact' END AS kind FROM lines WHERE v <> '' AND NOT starts_with(v, '//')"""
     out["h_email_identity"] = f"WITH {ent}, {ln.mail_rows()} SELECT message_id, CAST(pos AS INTEGER) AS pos, email, domain, signals, points FROM mf"
     out["i1_stage_tags"] = f"WITH {s.tagged()} SELECT t.conv_id, t.turn, coalesce(string_agg(stage, ',' ORDER BY ord), '') AS stages FROM turns t LEFT JOIN hits h USING (conv_id, turn) GROUP BY t.conv_id, t.turn"
     out["i2_first_turns"] = f"WITH {s.tagged()} SELECT conv_id, stage, min(turn) + 1 AS first_message FROM hits GROUP BY conv_id, stage"

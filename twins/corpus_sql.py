@@ -39,7 +39,7 @@ def sql() -> dict[str, str]:
     out = {
         "a1_json_lines": "SELECT doc_id, lang, source, n_chars FROM documents",
         "a2_message_intake": f"{msgs}, i AS (SELECT message_id, {caps} FROM messages) SELECT message_id, CAST(length(text) AS INTEGER) AS chars, source_url, claimed_domain, recruiter_email FROM i WHERE trim(text) <> '' OR trim(source_url) <> ''",
-        "a3_turn_intake": f"WITH {turns()} SELECT conv_id, turn + 1 AS message, {t.clip(chr(39) * 0 + 'coalesce(sender, ' + q('Unknown') + ')', 60)} AS sender, text FROM turns WHERE trim(text) <> ''",
+        "a3_turn_intake": f"WITH {turns()} SELECT conv_id, turn + 1 AS message, {t.rep(t.rep("coalesce(sender, 'Unknown')", r'\s+', ' '), r'^ | \z', '')} AS sender, text FROM turns WHERE trim(text) <> ''",
         "a10_page_source": "SELECT page_id, url, CAST(length(html) AS INTEGER) AS chars FROM pages",
         "o9_hash_split": f"SELECT doc_id, {doc_split} AS split FROM documents",
         "o12_dedup": "SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS norm_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",

@@ -61,6 +61,12 @@ def brand_rows(source: str, out: str) -> str:
   WHERE NOT list_contains(official, domain))"""
 
 
+def host_of(url: str) -> str:
+    """The host of a link that has a scheme."""
+    authority = f"regexp_extract({url}, '^[A-Za-z]+://([^/?#]*)', 1)"
+    return f"regexp_replace(lower(regexp_replace(regexp_replace({authority}, '^.*@', ''), ':[0-9]*$', '')), '\\.+$', '')"
+
+
 def link_rows(source: str, out: str = "lf") -> str:
     """CTE ``out``: one row per (message_id, pos, raw link) of ``source`` with its parts, signals and points."""
     bare = t.rep("raw_url", r"^\s+|\s+\z", "")
