@@ -155,7 +155,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 4_000_0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
         for part in parts:
-            for run in batches(list(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)), lambda r: len(r[1] or ""), 1_000_000):
+            for run in batches(list(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)), lambda r: len(r[1] or ""), 250_000):
                 found = Aligned(of, [r[1] for r in run])
                 ids += [r[0] for r in run]
                 for into, own in zip(sizes, found.sizes, strict=True):

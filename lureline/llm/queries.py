@@ -46,7 +46,7 @@ def op2_run_index(spark, d):
 
 @query
 def op3_packing(spark, d):
-    return packing.pack(documents(spark, d), tokenizer_path(), with_ids=False).drop("ids")
+    return packing.pack(documents(spark, d), tokenizer_path()).drop("ids")
 
 
 @query

@@ -65,9 +65,8 @@ class Encoder:
         self.by_pieces = "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
         if self.by_pieces:  # for pieces that are one pre-token already, each with a blank in front
-            self.single = Tokenizer.from_file(path)
+            self.single = Tokenizer(self.tokenizer.model)  # the same model, not another copy of it
             self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.single.encode_special_tokens = True
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
             self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # the blank in byte-level BPE

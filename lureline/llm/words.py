@@ -8,7 +8,8 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STRETCH = 1 << 21
+#: Bytes hashed at once; the tables of powers are no longer than twice that, or the longest word (8 MB otherwise).
+_STRETCH = 1 << 18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -29,7 +30,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n."""
-    up, down = _powers(max(22, int(n).bit_length()))
+    up, down = _powers(max(19, int(n).bit_length()))
     return up[:n], down[:n]
 
 
@@ -58,7 +59,7 @@ class Words:
         self.count = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """By stretches of about 2 MB, so that memory does not follow the longest text (only the longest word)."""
+        """By stretches, so that memory does not follow the longest text (only the longest word)."""
         out = np.empty(len(self.start), np.uint64)
         at = 0
         while at < len(out):
