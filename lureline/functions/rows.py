@@ -25,8 +25,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def lookup(values: list, ordinal: Column) -> Column:
-    """The constant at a 0-based place. The list travels as one literal, which keeps the plan small; Spark folds the split."""
+def lookup(values: list, ordinal: Column, empty: str = "string") -> Column:
+    """The constant at a 0-based place. The list travels as one literal, which keeps the plan small; Spark folds the split. Of an empty list
+    nothing is found, a null of the type ``empty``."""
+    if not values:
+        return F.lit(None).cast(empty)
     kind = "boolean" if isinstance(values[0], bool) else "int" if isinstance(values[0], int) else "string"
     listed = F.split(F.lit("\x01".join(map(str, values))), "\x01")
     # An unknown place has no constant; element_at does not declare that, so it is said here.

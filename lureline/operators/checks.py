@@ -85,6 +85,11 @@ def spread(df: DataFrame, key: str, name: str, slack: int) -> DataFrame:
     return _one(name, g, F.greatest(F.max("n") - F.min("n") - slack, F.lit(0)))
 
 
+def counted(df: DataFrame, expected: Column, name: str) -> DataFrame:
+    """How far the number of rows is from the expected one (a literal or an aggregate of the same table)."""
+    return _one(name, df, F.abs(F.count(F.lit(1)) - F.coalesce(expected, F.lit(0))))
+
+
 def rollup(checks: DataFrame) -> DataFrame:
     """P22."""
     failed = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("check")))), ",")
@@ -107,5 +112,11 @@ def record_constraints() -> dict[str, Column]:
     }
 
 
-def turn_constraints(min_text: int = 40, roles: tuple[str, ...] = ("user", "assistant")) -> dict[str, Column]:
-    return {"role": F.col("role").isin(*roles), "text": F.length("text") >= min_text, "turn": F.col("turn").between(0, 199)}
+#: Who may speak; P8 and P23 use the same list.
+ROLES = ("assistant", "system", "user")
+
+
+def turn_constraints(min_text: int = 40, roles: tuple[str, ...] = ROLES, most_turns: int | None = None) -> dict[str, Column]:
+    """P23 for turns. ``most_turns`` is an option; by default a conversation may have any number."""
+    turn = F.col("turn") >= 0
+    return {"role": F.col("role").isin(*roles), "text": F.length("text") >= min_text, "turn": turn if most_turns is None else turn & (F.col("turn") < most_turns)}

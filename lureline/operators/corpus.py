@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lureline.functions import taxonomy as x
+from lureline.functions import text as t
 from lureline.functions.languageid import NAMES
 from lureline.functions.rows import let, lookup, settle
 
@@ -49,6 +50,13 @@ def apply_variant(text: Column, variant: Column, language: Column) -> Column:
     )
 
 
+def family_key(text: Column) -> Column:
+    """Names a text whatever its disguise: links written out, invisible signs and compatibility forms undone, then only letters and
+    digits, lower-cased. Spaced letters and changed punctuation leave no trace in it. Texts without letters or digits go by themselves."""
+    plain = F.regexp_replace(F.lower(t.refang(t.strip_invisible(t.fold_compat(t.plain_urls(text))))), r"[^\pL\pN]+", "")
+    return F.sha2(F.when(plain != "", plain).otherwise(text), 256)
+
+
 def plan(numbers: DataFrame, number: str = "number") -> DataFrame:
     """O1 and O2: segment, place in the segment, language, leaf, country, currency, channel."""
     n = F.col(number)
@@ -71,7 +79,7 @@ def plan(numbers: DataFrame, number: str = "number") -> DataFrame:
     kind = F.when(F.col("label") == "legitimate", "L").when(F.col("label") == "awareness", "A").otherwise("O")
     taxonomy = F.when(scam, lookup([v[0] for v in x.LEAVES], leaf)).otherwise(F.concat(F.upper(F.substring("domain", 1, 1)), F.lit("00-"), kind))
     at = F.array_position(F.array(*[F.lit(c) for c in LANGS]), F.col("language")).cast("int") - 1
-    countries = F.split(lookup([x.COUNTRIES[c] for c in LANGS], at), " ")
+    countries = F.split(lookup([" ".join(x.COUNTRIES[c]) for c in LANGS], at), " ")
     out = settle(out, taxonomy_id=taxonomy, _leaf=F.when(scam, leaf), _at=at, country=F.element_at(countries, (F.pmod(n, F.size(countries)) + 1).cast("int")), ref=reference(n))
     codes = list(x.CURRENCIES)
     money = lookup(list(x.CURRENCIES.values()), F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("country")).cast("int") - 1)
@@ -126,11 +134,11 @@ def records(numbers: DataFrame, number: str = "number") -> DataFrame:
     out = settle(out, turns=turns)
     joined = F.array_join(F.transform("turns", lambda v: c(s("["), v["role"], s("] "), v["text"])), "\n")
     extra = F.array_compact(F.array(F.when(turn != 2, s("contains_url")), F.when(F.pmod(i, F.lit(3)) == 0, s("off_platform")), F.when(chat, s("conversation_escalation"))))
-    signals = F.when(scam, F.array_distinct(F.concat(F.split(lookup([v[4] for v in x.LEAVES], leaf), " "), extra))).when(
+    signals = F.when(scam, F.array_distinct(F.concat(F.split(lookup([" ".join(v[4]) for v in x.LEAVES], leaf), " "), extra))).when(
         F.col("label") == "legitimate", F.array(s("official_verification"), s("no_payment_request"))).when(
         F.col("label") == "awareness", F.array(s("awareness_context"), s("negated_risk_terms"))).otherwise(F.array(s("abstention_recommended")))
     action = F.coalesce(lookup([x.ACTIONS[v[2]] for v in x.LEAVES], leaf), s("none"))
-    stages = F.split(lookup([v[3] for v in x.LEAVES], leaf), " ")
+    stages = F.split(lookup([" ".join(v[3]) for v in x.LEAVES], leaf), " ")
     width = F.when(scam, 1520).otherwise(152)
     group = c(s("GRP-"), "domain", s("-"), "taxonomy_id", s("-"), "language", s("-"), F.format_string("%06d", F.floor(n / width).cast("bigint")))
     out = settle(out, text=F.when(chat, joined).otherwise(F.col("_single")), text_en=F.when(scam, F.col("_bait_en")).when(F.col("label") == "legitimate", "Official message; nothing is asked for.").when(

@@ -21,6 +21,45 @@ def build(spark: SparkSession, root: str) -> DataFrame:
     return files.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).where(included(F.col("path")))
 
 
+def of_rows(rows: DataFrame, path: Column, content: Column) -> DataFrame:
+    """The manifest of records kept in a table: path, size and hash of each."""
+    raw = F.encode(F.coalesce(content, F.lit("")), "UTF-8")
+    return rows.select(path.alias("path"), F.octet_length(raw).cast("bigint").alias("size_bytes"), F.sha2(raw, 256).alias("sha256"))
+
+
+#: Hex digits of a line's hash that name its leaf, and of a leaf's name that name its branch.
+LEAF, BRANCH = 4, 2
+
+
+def _line() -> Column:
+    return F.concat("path", F.lit("\x00"), F.col("size_bytes").cast("string"), F.lit("\x00"), "sha256", F.lit("\n"))
+
+
+def tree(manifest: DataFrame) -> DataFrame:
+    """R2 as a hash tree: node, digest, files, bytes. Lines are dealt to 65,536 leaves by the hash of their path, so no list holds them all;
+    a branch is the hash of its leaves in order, the root (node '') that of the branches."""
+    dealt = manifest.select(F.substring(F.sha2("path", 256), 1, LEAF).alias("node"), _line().alias("line"), "size_bytes")
+    level = dealt.groupBy("node").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), 256).alias("digest"), F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    out = level
+    for digits in (BRANCH, 0):
+        child = F.concat("node", F.lit("="), "digest", F.lit("\n"))
+        level = level.groupBy(F.substring("node", 1, digits).alias("node")).agg(
+            F.sha2(F.array_join(F.sort_array(F.collect_list(child)), ""), 256).alias("digest"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+        out = out.unionByName(level)
+    return out
+
+
+def tree_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """R3 by trees: only leaves whose digests differ are opened, then compared line by line."""
+    e, a = (tree(x).where(F.length("node") == LEAF).select("node", F.col("digest").alias(n)) for x, n in ((expected, "e"), (actual, "a")))
+    open_leaves = e.join(a, "node", "full_outer").where(~F.col("e").eqNullSafe(F.col("a"))).select("node")
+
+    def opened(x: DataFrame) -> DataFrame:
+        return x.withColumn("node", F.substring(F.sha2("path", 256), 1, LEAF)).join(open_leaves, "node", "left_semi").drop("node")
+
+    return verify(opened(expected), opened(actual))
+
+
 def digest(manifest: DataFrame) -> DataFrame:
     """R2: one hash over the sorted lines. The list is the manifest, a line per file, not the data."""
     line = F.concat("path", F.lit("\x00"), F.col("size_bytes").cast("string"), F.lit("\x00"), "sha256", F.lit("\n"))
@@ -49,15 +88,21 @@ def approved() -> Column:
     return F.coalesce((F.col("status") == "approved") & said[0] & said[1] & said[2], F.lit(False))
 
 
-def gates(checks: DataFrame, attestations: DataFrame, manifest_failures: int = 0, external_excluded: bool = True) -> DataFrame:
-    """Technical gates from the checks, governance gates from the attestations; anything missing blocks."""
+def _empty(rows: DataFrame | None) -> Column:
+    """Is there evidence, and does it hold no row? As a scalar of the plan; without evidence: no."""
+    return F.lit(False) if rows is None else rows.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+
+
+def gates(checks: DataFrame, attestations: DataFrame, manifest_diff: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
+    """Technical gates from the checks, the manifest's differences (``verify``) and the external records found in the release; governance
+    gates from the attestations. Anything missing blocks: no evidence is no pass."""
     spark = checks.sparkSession
     safe = F.min(F.when(F.col("check").isin("safe_provenance_flags", "reserved_urls_only"), F.col("passed").cast("int")))
-    t = checks.agg(F.bool_and("passed").alias("every"), (F.coalesce(safe, F.lit(0)) == 1).alias("safe"))
-    technical = t.select(F.inline(F.array(*[
+    of = checks.agg(F.bool_and("passed").alias("every"), (F.coalesce(safe, F.lit(0)) == 1).alias("safe"))
+    technical = of.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("gate"), F.lit(n).alias("name"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("BLOCKED").alias("state"))
-        for i, n, ok in (("T01", "Dataset validation", F.col("every")), ("T02", "Complete release manifest", F.lit(manifest_failures == 0)),
-                         ("T03", "Synthetic provenance and safe indicators", F.col("safe")), ("T04", "External records excluded", F.lit(external_excluded)))])))
+        for i, n, ok in (("T01", "Dataset validation", F.col("every")), ("T02", "Complete release manifest", _empty(manifest_diff)),
+                         ("T03", "Synthetic provenance and safe indicators", F.col("safe")), ("T04", "External records excluded", _empty(external)))])))
     dim = spark.createDataFrame([(g, n, k) for g, n, k, _ in GOVERNANCE], "gate string, name string, gate_key string")
     governed = dim.join(attestations, "gate_key", "left").select("gate", "name", F.when(approved(), "PASS").otherwise("BLOCKED").alias("state"))
     return technical.unionByName(governed)

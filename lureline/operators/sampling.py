@@ -27,6 +27,27 @@ def evaluation_slice(records: DataFrame, per_leaf: int = 8, quotas: dict[str, in
     return top.where(F.col("place") <= F.col("quota"))
 
 
+def allotments(df: DataFrame, group: str, quotas: DataFrame, total: int) -> DataFrame:
+    """Q2: how many rows each slice gives: group, quota, rows, missing, allotted, a row for each slice of the quota table.
+
+    A slice gives its quota or all it has. What is missing to ``total`` is taken from the slices with most rows to spare, ties by name, so
+    the sum is ``total`` wherever the slices hold that many rows. ``quotas`` has (group, quota); the windows are over slices, not rows.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    q = quotas.select(group, F.col("quota").cast("long").alias("quota")).join(sizes, group, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    q = q.withColumn("taken", F.least("quota", "rows")).withColumn("spare", F.col("rows") - F.col("taken"))
+    before = Window.orderBy(F.col("spare").desc(), group).rowsBetween(Window.unboundedPreceding, -1)
+    lacking = F.greatest(F.lit(total) - F.sum("taken").over(Window.partitionBy()), F.lit(0))
+    q = q.withColumn("extra", F.greatest(F.least(F.col("spare"), lacking - F.coalesce(F.sum("spare").over(before), F.lit(0))), F.lit(0)))
+    return q.select(group, "quota", "rows", F.greatest(F.col("quota") - F.col("rows"), F.lit(0)).alias("missing"), (F.col("taken") + F.col("extra")).alias("allotted"))
+
+
+def quota_sample(df: DataFrame, group: str, order: str, quotas: DataFrame, total: int) -> DataFrame:
+    """Q2: the first rows of each slice, as many as ``allotments`` says. A slice is cut to ``total`` rows before it is shuffled."""
+    given = allotments(df, group, quotas, total).select(group, "allotted")
+    return first_per_group(df, group, order, total).join(given, group).where(F.col("place") <= F.col("allotted"))
+
+
 def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     """Q4: a count per value of each column, in one pass over grouping sets."""
     g = df.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(F.count(F.lit(1)).alias("rows"), *[F.grouping(c).alias(f"_g_{c}") for c in columns])

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lureline.functions import text as t
 from lureline.functions.rows import lookup, settle
-from lureline.operators import bayes, checks, corpus, domains, evaluate, langid, links, manifest, pages, rules, sampling, stages, verdict, verify
+from lureline.operators import bayes, checks, corpus, domains, evaluate, langid, links, manifest, pages, rules, sampling, schema, stages, verdict, verify
 from lureline.operators import normalize as nz
-from lureline.plans import given
+from lureline.plans import given, supplied
 from lureline.plans import messages as m
+from lureline.session import scratch_folder
 from lureline.sources import intake, sinks
-from lureline.streaming import jobs
+from lureline.streaming import alerts, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +94,14 @@ def c1_rule_scan(spark, d):
     return rules.findings_table(_scanned(spark, d)).select("message_id", "rule_id", "severity", "weight", "evidence")
 
 
+@query
+def u1_supplied_rules(spark, d):
+    """Rules and lexicons from tables, compiled and run in place of the built-in ones."""
+    own = supplied.rule_set(spark)
+    found = rules.findings_table(rules.scan(_normal(spark, d), rules=own), rules=own)
+    return found.select("message_id", "rule_id", "severity", "weight", "evidence", F.lit(own.fingerprint()).alias("rule_set"))
+
+
 @query
 def c3_findings_rollup(spark, d):
     r = rules.rollup(F.col("findings"))
@@ -202,18 +211,15 @@ def _labelled(spark, d):
 
 @query
 def j2_train(spark, d):
-    lab = _labelled(spark, d)
-    counts = bayes.train(lab)
-    return bayes.weights(counts, bayes.totals(counts, lab))
+    return bayes.weights_of(bayes.counted(_labelled(spark, d), scratch_folder(spark)))
 
 
 @query
 def j3_score(spark, d):
-    lab = _labelled(spark, d)
-    counts = bayes.train(lab)
-    whole = bayes.totals(counts, lab)
+    """Trained once and stored; the documents are read for the training and for the scoring, no more."""
+    model, fixed = bayes.stored(bayes.counted(_labelled(spark, d), scratch_folder(spark)), scratch_folder(spark))
     docs = nz.normalize(m.dealt(m.read(spark, d, "documents").select("doc_id", "text"), _deal(spark)))
-    s = bayes.score(docs, "doc_id", bayes.weights(counts, whole), bayes.constants(whole))
+    s = bayes.score(docs, "doc_id", model, fixed)
     return s.select("doc_id", "features", "delta", bayes.probability(F.col("delta")).alias("raw_probability"), bayes.probability(F.col("delta"), 2.4).alias("calibrated"))
 
 
@@ -229,9 +235,7 @@ def k5_band_counts(spark, d):
 
 @query
 def a9_result_export(spark, d):
-    v = _verdicts(spark, d)
-    doc = F.struct("message_id", "input_sha256", "risk_score", "risk_band", F.col("risk_band").alias("verdict"), "level", "primary_pattern", "summary", "has_critical", F.col("rule_ids").alias("findings"), F.col("rule_ids").alias("warnings"), "actions")
-    return v.select("message_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("verdict"))
+    return _verdicts(spark, d).select("message_id", F.to_json(verdict.document(), {"ignoreNullFields": "false"}).alias("verdict"))
 
 
 @query
@@ -281,6 +285,25 @@ def a1_json_lines(spark, d):
     return intake.parse_lines(lines, "line", "doc_id bigint, lang string, source string, n_chars bigint").select("doc_id", "lang", "source", "n_chars")
 
 
+@query
+def a1_json_file(spark, d):
+    """Documents written as JSON lines and read back by the record source."""
+    folder = scratch_folder(spark)
+    m.read(spark, d, "documents").select("doc_id", "lang", "source", "text").write.json(folder)
+    rows = intake.records(spark, folder, "doc_id bigint, lang string, source string, text string")
+    return rows.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), F.col("_corrupt_record").isNull().alias("whole"))
+
+
+@query
+def a5_csv_file(spark, d):
+    """Benchmark items and labels written as CSV and read back by the table source, all as text."""
+    folder = scratch_folder(spark)
+    items = m.read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("kind"), F.col("text").alias("value"))
+    labels = m.read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("labels").alias("kind"), F.concat_ws("/", F.coalesce(F.col("quality").cast("string"), F.lit("-")), F.coalesce(F.col("toxic").cast("string"), F.lit("-"))).alias("value"))
+    sinks.write_table(items.unionByName(labels), folder)
+    return intake.table(spark, folder).select("id", "kind", F.sha2("value", 256).alias("value_sha256"))
+
+
 @query
 def a2_message_intake(spark, d):
     out = intake.messages(_messages(spark, d))
@@ -320,6 +343,12 @@ def o9_hash_split(spark, d):
     return docs
 
 
+@query
+def o11_fixed_order(spark, d):
+    """Documents in an order that follows from the seed and their ids alone."""
+    return corpus.shuffled(m.read(spark, d, "documents").select("doc_id"), "doc_id").orderBy("shuffle_key")
+
+
 @query
 def o12_dedup(spark, d):
     return corpus.dedup(m.read(spark, d, "documents"), "doc_id", "text")
@@ -345,11 +374,23 @@ def p10_split_isolation(spark, d):
     return g.where(F.col("low") != F.col("high"))
 
 
+@query
+def p11_family_isolation(spark, d):
+    return given.family_isolation(m.read(spark, d, "documents"))
+
+
 @query
 def p12_reserved_urls(spark, d):
     return m.read(spark, d, "pages").select("page_id", "url", checks.reserved_url(F.col("url")).alias("reserved"))
 
 
+@query
+def p15_transient_files(spark, d):
+    """Pages whose path is that of a file which no release may hold."""
+    path = F.regexp_replace("url", r"^[a-zA-Z]+://[^/]*/?|[?#].*$", "")
+    return m.read(spark, d, "pages").select("page_id", path.alias("path"), manifest.included(path).alias("included"))
+
+
 @query
 def p22_rollup(spark, d):
     return checks.rollup(given.corpus_checks(spark, d))
@@ -363,6 +404,12 @@ def p23_schema_violations(spark, d):
     return both[0].unionByName(both[1])
 
 
+@query
+def p23_schema_document(spark, d):
+    lines = given.turn_lines(m.read(spark, d, "conversations"))
+    return schema.line_violations(lines, ["conv_id", "turn"], "line", given.TURN_SCHEMA)
+
+
 @query
 def q1_source_sample(spark, d):
     return sampling.first_per_group(m.read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 10)
@@ -373,6 +420,18 @@ def q2_evaluation_slice(spark, d):
     return given.slices(given.labelled(spark, d)).select("doc_id", "label", "lang", "source", "slice")
 
 
+@query
+def q2_quota_sample(spark, d):
+    rows, quotas = given.quota_slices(given.labelled(spark, d))
+    return sampling.quota_sample(rows, "slice", "doc_id", quotas, given.TOTAL).select("doc_id", "slice", "place", "allotted")
+
+
+@query
+def q2_allotments(spark, d):
+    rows, quotas = given.quota_slices(given.labelled(spark, d))
+    return sampling.allotments(rows, "slice", quotas, given.TOTAL)
+
+
 @query
 def q4_distributions(spark, d):
     return sampling.distributions(given.labelled(spark, d), ["lang", "source", "split", "label"])
@@ -409,13 +468,32 @@ def r2_release_digest(spark, d):
     return manifest.digest(manifest.build(spark, d))
 
 
+def _manifests(spark, d):
+    """The given documents, and what a release would hold of them: one of each text, tidied."""
+    docs = m.read(spark, d, "documents").select("doc_id", "source", "text")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    released = docs.join(corpus.dedup(docs, "doc_id", "text").select("doc_id"), "doc_id", "left_semi")
+    return manifest.of_rows(docs, path, F.col("text")), manifest.of_rows(released, path, t.tidy(F.col("text")))
+
+
+@query
+def r2_digest_tree(spark, d):
+    return manifest.tree(_manifests(spark, d)[0])
+
+
+@query
+def r3_manifest_diff(spark, d):
+    return manifest.tree_diff(*_manifests(spark, d))
+
+
 ATTESTED = (("native_language_review", "approved", "A. Reviewer", "2026-01-05", "notes"), ("legal_privacy_review", "approved", "B. Reviewer", None, "notes"), ("security_release_review", "not_provided", None, None, None))
 
 
 @query
 def r4_gates(spark, d):
     attested = spark.createDataFrame(list(ATTESTED), "gate_key string, status string, reviewer string, reviewed_at string, evidence string")
-    return manifest.gates(given.corpus_checks(spark, d), attested)
+    external = m.read(spark, d, "benchmark").join(m.read(spark, d, "documents").select("text"), "text", "left_semi")
+    return manifest.gates(given.corpus_checks(spark, d), attested, manifest.tree_diff(*_manifests(spark, d)), external)
 
 
 @query
@@ -458,6 +536,11 @@ def t2_running_escalation(spark, d):
     return jobs.running_escalation(m.turn_view(spark, d))
 
 
+@query
+def t2_escalation_alerts(spark, d):
+    return alerts.alerts_in_order(m.turn_view(spark, d))
+
+
 @query
 def t3_window_counts(spark, d):
     return jobs.band_counts(m.read(spark, d, "events"), group="event_type").withColumn("window_start", F.col("window_start").cast("string"))

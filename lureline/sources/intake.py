@@ -38,8 +38,8 @@ def parse_lines(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
-    """A5: CSV with a header, all text."""
-    return spark.read.option("header", True).csv(path)
+    """A5: CSV with a header, all text. Quoted values may hold quotes and line ends; \\N is null, an empty value is an empty text."""
+    return spark.read.options(header=True, escape='"', multiLine=True, nullValue="\\N", emptyValue="").csv(path)
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:

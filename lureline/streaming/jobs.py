@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-from lureline.operators import links, rules, stages
+from lureline.operators import bayes, links, rules, stages, verdict
 from lureline.operators.normalize import normalize
 
 
@@ -15,6 +18,14 @@ def score_stream(messages: DataFrame) -> DataFrame:
     return links.link_findings(links.entities(scanned))
 
 
+def verdict_stream(messages: DataFrame, write: Callable[[DataFrame, int], None], model: DataFrame | None = None, fixed: DataFrame | None = None, **options) -> DataStreamWriter:
+    """T1 up to the verdict: each micro-batch is scored by the batch job and given to ``write`` with its number, which names it when a batch
+    is run again after a failure. The built-in model is literal rows, so no batch trains; ``options`` are those of ``verdict.score``."""
+    if model is None or fixed is None:
+        model, fixed = bayes.seed_model(messages.sparkSession)
+    return messages.writeStream.foreachBatch(lambda rows, number: write(verdict.score(rows, model, fixed, **options), number))
+
+
 def running_escalation(turns: DataFrame) -> DataFrame:
     """Escalation per conversation in update mode. First turns are minima, so turns may arrive in any order."""
     return stages.conversations(stages.tag(turns))

@@ -66,10 +66,13 @@ def test_manifest_names_exactly_the_changed_file(spark, tmp_path):
 def test_gates_fail_closed(spark):
     ok = spark.createDataFrame([("safe_provenance_flags", True, 0), ("reserved_urls_only", True, 0)], checks.CHECK)
     none = spark.createDataFrame([], "gate_key string, status string, reviewer string, reviewed_at string, evidence string")
-    r = manifest.readiness(manifest.gates(ok, none)).first()
+    diff = spark.createDataFrame([("a.txt", "changed")], "path string, state string")
+    r = manifest.readiness(manifest.gates(ok, none, diff.limit(0), diff.limit(0))).first()
     assert (r.technical_status, r.overall_status, r.blocked_gate_count) == ("PASS", "NOT_READY_FOR_PRODUCTION", 7)
     every = spark.createDataFrame([(k, "approved", "r", "d", "e") for _, _, k, _ in manifest.GOVERNANCE], none.schema)
-    assert manifest.readiness(manifest.gates(ok, every)).first().overall_status == "READY_FOR_PRODUCTION"
+    assert manifest.readiness(manifest.gates(ok, every, diff.limit(0), diff.limit(0))).first().overall_status == "READY_FOR_PRODUCTION"
+    for evidence, blocked in (((None, None), {"T02", "T04"}), ((diff, diff.limit(0)), {"T02"}), ((diff.limit(0), diff), {"T04"}), ((diff.limit(0), None), {"T04"})):
+        assert {x.gate for x in manifest.gates(ok, every, *evidence).collect() if x.state != "PASS"} == blocked
 
 
 def test_reserved_hosts_are_parsed(spark):

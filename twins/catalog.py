@@ -36,6 +36,8 @@ def sql() -> dict[str, str]:
     out["b14_fingerprint"] = f"WITH {msgs} SELECT message_id, sha256(text) AS input_sha256, {t.clip('text', 220)} AS excerpt, {t.plain_urls('text')} AS plain FROM messages"
     rules = r.all_ctes()
     out["c1_rule_scan"] = f"WITH {rules} SELECT message_id, rule_id, severity, weight, evidence FROM findings"
+    own, name = r.supplied()
+    out["u1_supplied_rules"] = f"WITH {own} SELECT message_id, rule_id, severity, weight, evidence, {q(name)} AS rule_set FROM findings"
     out["c3_findings_rollup"] = f"""WITH {rules}, act AS (SELECT message_id, action, min(ord) AS o FROM findings GROUP BY message_id, action),
       act6 AS (SELECT message_id, string_agg(action, ' | ' ORDER BY o) AS actions FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY o) AS k FROM act) WHERE k <= 6 GROUP BY message_id),
       g AS (SELECT message_id, sum(weight) AS p, count(*) AS n, bool_or(severity = 'critical') AS c, arg_min(category, ord) AS cat FROM findings GROUP BY message_id)
@@ -75,13 +77,27 @@ def sql() -> dict[str, str]:
     out["k_verdict"] = f"{v} SELECT {s.VERDICT_COLUMNS} FROM v"
     out["k5_band_counts"] = f"{v} SELECT risk_band, count(*) AS messages, CAST(sum(risk_score) AS BIGINT) AS score_sum, CAST(max(risk_score) AS INTEGER) AS top_score FROM v GROUP BY risk_band"
     level = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LEVELS.items())
+    none = "Verify the sender and the offer through official channels found independently before acting."
+    signals = lambda x: f"CASE WHEN {x} = '' THEN [] ELSE string_split({x}, '; ') END"
     out["a9_result_export"] = f"""{v}, act AS (SELECT message_id, action, min(ord) AS o FROM findings GROUP BY message_id, action),
       act6 AS (SELECT message_id, list(action ORDER BY o) AS actions FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY o) AS k FROM act) WHERE k <= 6 GROUP BY message_id),
-      ids AS (SELECT message_id, list(rule_id ORDER BY ord) AS ids FROM findings GROUP BY message_id), texts AS (SELECT message_id, sha256(text) AS sha FROM messages)
+      fd AS (SELECT message_id, list({{'rule_id': rule_id, 'category': category, 'severity': severity, 'weight': CAST(weight AS INTEGER), 'evidence': evidence, 'explanation': note, 'action': action}} ORDER BY ord) AS found, list(note ORDER BY ord) AS notes FROM findings GROUP BY message_id),
+      ld AS (SELECT message_id, list({{'url': url, 'host': host, 'domain': domain, 'signals': {signals('signals')}, 'points': CAST(points AS INTEGER)}} ORDER BY pos) AS links FROM lf GROUP BY message_id),
+      md9 AS (SELECT message_id, list({{'email': email, 'domain': domain, 'signals': {signals('signals')}, 'points': CAST(points AS INTEGER)}} ORDER BY pos) AS senders FROM mf GROUP BY message_id),
+      names AS (SELECT message_id, string_agg(stage, ' -> ' ORDER BY ord) AS pattern FROM firsts GROUP BY message_id),
+      said AS (SELECT m.message_id, sha256(m.text) AS sha, list_filter([{steps}], lambda x: x IS NOT NULL) AS steps,
+        list_filter([CASE WHEN {hidden} > 0 THEN 'invisible characters: ' || ({hidden}) END, CASE WHEN regexp_matches(text, '\\p{{Latin}}') AND (regexp_matches(text, '\\p{{Cyrillic}}') OR regexp_matches(text, '\\p{{Greek}}')) THEN 'Latin mixed with Cyrillic or Greek' END,
+          CASE WHEN {t.lookalikes('text')} <> text THEN 'look-alike characters' END], lambda x: x IS NOT NULL) AS marks FROM messages m JOIN n7 USING (message_id, text))
       SELECT v.message_id, CAST(to_json({{'message_id': v.message_id, 'input_sha256': sha, 'risk_score': CAST(risk_score AS INTEGER), 'risk_band': risk_band, 'verdict': risk_band, 'level': CASE risk_band {level} END, 'primary_pattern': primary_pattern,
-        'summary': risk_band || ': ' || CAST(n AS INTEGER) || ' findings, ' || primary_pattern, 'has_critical': crit, 'findings': coalesce(ids, []), 'warnings': coalesce(ids, []),
-        'actions': coalesce(actions, ['Verify the sender and the offer through official channels found independently before acting.'])}}) AS VARCHAR) AS verdict
-      FROM v LEFT JOIN act6 USING (message_id) LEFT JOIN ids USING (message_id) JOIN texts USING (message_id)"""
+        'summary': risk_band || ': ' || CAST(n AS INTEGER) || ' findings, ' || primary_pattern, 'has_critical': crit,
+        'components': {{'rule': CAST(rule_component AS INTEGER), 'url': CAST(url_component AS INTEGER), 'identity': CAST(identity_component AS INTEGER), 'unicode': CAST(unicode_component AS INTEGER), 'conversation': CAST(conversation_component AS INTEGER), 'model': CAST(model_component AS INTEGER)}},
+        'findings': coalesce(found, []), 'warnings': coalesce(notes, []), 'actions': coalesce(actions, [{q(none)}]), 'recommendations': coalesce(actions, [{q(none)}]),
+        'entities': {{'urls': ent.urls, 'emails': ent.emails, 'phones': ent.phones, 'handles': ent.handles, 'wallets': ent.wallets}}, 'links': coalesce(links, []), 'senders': coalesce(senders, []),
+        'conversation': {{'pattern': coalesce(pattern, {q(st.NONE)}), 'score': CAST(conversation_component AS INTEGER)}},
+        'model': {{'calibrated': printf('%.4f', calibrated), 'features': CAST(features AS INTEGER), 'abstained': abstained,
+          'reasons': list_filter([CASE WHEN NOT supported THEN 'script not supported' END, CASE WHEN very_short THEN 'too little text' END, CASE WHEN calibrated BETWEEN 0.35 AND 0.65 AND features < 80 THEN 'uncertain and sparse' END], lambda x: x IS NOT NULL),
+          'uncorroborated': n = 0 AND full_points > 10}}, 'transformations': steps, 'unicode_signals': marks}}) AS VARCHAR) AS verdict
+      FROM v LEFT JOIN act6 USING (message_id) LEFT JOIN fd USING (message_id) LEFT JOIN ld USING (message_id) LEFT JOIN md9 USING (message_id) LEFT JOIN names USING (message_id) JOIN said USING (message_id) JOIN ent USING (message_id)"""
     out.update(more_sql.sql())
     out.update(corpus_sql.sql())
     out.update(given_sql.sql())

@@ -56,6 +56,10 @@ def sql() -> dict[str, str]:
         "s5_variant_matrix": """SELECT item_id, v.n AS variant_no, sha256(CASE v.n WHEN 0 THEN text WHEN 1 THEN replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS') WHEN 2 THEN 'Good morning. ' || text WHEN 3 THEN text || ' Best wishes.' WHEN 4 THEN 'Visitor: ' || text ELSE '[08:15] Desk: ' || text END) AS text_sha256
           FROM benchmark, (VALUES (0), (1), (2), (3), (4), (5)) v(n)""",
         "t2_running_escalation": score_sql.conversations(),
+        "t2_escalation_alerts": f"""WITH {score_sql.tagged()}, upto AS (SELECT t.conv_id, t.turn, h.ord, h.stage, min(h.turn) AS first FROM turns t JOIN hits h ON h.conv_id = t.conv_id AND h.turn <= t.turn GROUP BY ALL),
+          {score_sql.escalated('upto', 'conv_id, turn')}, s AS (SELECT t.conv_id, t.turn, CAST(least(30, 4 * coalesce(stages, 0) + 2 * coalesce(pairs, 0)) AS INTEGER) AS escalation_score FROM turns t LEFT JOIN esc USING (conv_id, turn)),
+          l AS (SELECT *, CASE WHEN escalation_score >= 22 THEN 'act' WHEN escalation_score >= 14 THEN 'warn' WHEN escalation_score >= 6 THEN 'watch' ELSE 'quiet' END AS level FROM s),
+          p AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY conv_id ORDER BY turn), 'quiet') AS previous FROM l) SELECT conv_id, turn, escalation_score, level, previous FROM p WHERE level <> previous""",
         "t3_window_counts": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
         "t3_sliding_counts": "SELECT strftime(time_bucket(INTERVAL '1 hour', ts) - o.h * INTERVAL '1 hour', '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS rows FROM events, (VALUES (0), (1)) o(h) GROUP BY ALL",
         "t4_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

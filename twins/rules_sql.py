@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from lureline.functions import cues
 from lureline.functions import languages as lang
+from lureline.functions.patterns import near, then, whole
 from lureline.functions.patterns import sql_text as q
-from lureline.functions.rulebook import ENGLISH
-from lureline.operators.rules import ALL_RULES, FAR_WINDOW, WINDOW, _ORD, ordinals
+from lureline.functions.patterns import words as w
+from lureline.functions.rulebook import Rule
+from lureline.functions.ruleset import BUILT_IN, RuleSet
+from lureline.operators.rules import FAR_WINDOW, WINDOW, _ORD
+from lureline.plans.supplied import LEXICONS, RULES
 from twins import text_sql as t
 from twins.messages_sql import messages
 
@@ -25,29 +29,28 @@ def subjects() -> str:
     )
 
 
-def _isin(ids) -> str:
-    return "ord IN (" + ", ".join(map(str, ordinals(tuple(ids)))) + ")"
+def english(rules: RuleSet = BUILT_IN) -> str:
+    def _of(guard: str) -> str:
+        return "ord IN (" + ", ".join(map(str, rules.guarded(guard))) + ")"
 
-
-def english() -> str:
-    flags = ", ".join(f"CASE WHEN {has('subject', r.pattern)} THEN {i} END" for i, r in enumerate(ENGLISH))
-    patterns = ", ".join(f"({i}, {q(r.pattern)})" for i, r in enumerate(ENGLISH))
+    flags = ", ".join(f"CASE WHEN {has('subject', r.pattern)} THEN {i} END" for i, r in enumerate(rules.rules))
+    patterns = ", ".join(f"({i}, {q(r.pattern)})" for i, r in enumerate(rules.rules))
     foreign = "|".join(lang.pattern(lang.LEXICON[c][k], c) for c in lang.LANGUAGES if c != "de" for k in ("warn", "loose"))
     german = "|".join(lang.pattern(lang.LEXICON["de"][k], "de") for k in ("warn", "loose"))
     abroad = (
         f"({has(t.accents('sentence'), foreign)} OR {has(t.german(t.accents('sentence')), german)} OR {has(t.german(t.accents('near')), lang.awareness())})"
     )
     guards = " OR ".join((
-        f"({_isin(cues.QUOTABLE)} AND {has('sentence', cues.WARNING)})",
-        f"({_isin(cues.QUOTABLE_ABROAD)} AND {abroad})",
-        f"({_isin(['negative_balance'])} AND {has('win', cues.OVERDRAFT)})",
-        f"({_isin(['unrealistic_return'])} AND {has('win', cues.HISTORICAL)} AND NOT {has('win', cues.FAST_OR_SURE)})",
-        f"({_isin(['guaranteed_returns'])} AND {has('win', cues.NOT_GUARANTEED)})",
-        f"({_isin(['no_risk'])} AND {has('win', cues.RISK_STATED)})",
-        f"({_isin(['referral_income'])} AND {has('win', cues.STAFF_REFERRAL)} AND NOT {has('win', cues.PYRAMID_WORDS)})",
-        f"({_isin(cues.NEVER_RULES)} AND {has('win', cues.NEVER_DO)})",
-        f"({_isin(['job_upfront_fee'])} AND ({has(t.unmark('sentence'), cues.NO_FEE)} OR NOT {has('subject', cues.JOB_WORDS)}))",
-        f"({_isin(['ms_fee_job'])} AND {has('sentence', cues.MALAY_DENIAL)})",
+        f"({_of('warning')} AND {has('sentence', cues.WARNING)})",
+        f"({_of('abroad')} AND {abroad})",
+        f"({_of('overdraft')} AND {has('win', cues.OVERDRAFT)})",
+        f"({_of('past_figure')} AND {has('win', cues.HISTORICAL)} AND NOT {has('win', cues.FAST_OR_SURE)})",
+        f"({_of('not_sure')} AND {has('win', cues.NOT_GUARANTEED)})",
+        f"({_of('risk_stated')} AND {has('win', cues.RISK_STATED)})",
+        f"({_of('staff_referral')} AND {has('win', cues.STAFF_REFERRAL)} AND NOT {has('win', cues.PYRAMID_WORDS)})",
+        f"({_of('never_do')} AND {has('win', cues.NEVER_DO)})",
+        f"({_of('no_fee')} AND ({has(t.unmark('sentence'), cues.NO_FEE)} OR NOT {has('subject', cues.JOB_WORDS)}))",
+        f"({_of('denial')} AND {has('sentence', cues.MALAY_DENIAL)})",
     ))
     return f"""
 patterns(ord, pattern) AS (VALUES {patterns}),
@@ -95,18 +98,40 @@ def languages() -> str:
     return ",\n".join(out) + ",\nabroad AS (" + "\nUNION ALL ".join(unions) + ")"
 
 
-def findings() -> str:
-    rows = ", ".join(f"({i}, {q(r.id)}, {q(r.category)}, {q(r.severity)}, {r.weight}, {q(r.action)})" for i, r in enumerate(ALL_RULES))
+def findings(rules: RuleSet = BUILT_IN) -> str:
+    rows = ", ".join(f"({i}, {q(r.id)}, {q(r.category)}, {q(r.severity)}, {r.weight}, {q(r.action)}, {q(r.note)})" for i, r in enumerate(rules.all_rules))
     text = f"CASE WHEN length({t.unmark('h.txt')}) = length(n.normalized) THEN n.normalized ELSE {t.unmark('h.txt')} END"
     begin = f"length({t.unmark('substr(h.txt, 1, h.start - 1)')}) + 1"
     size = f"length({t.unmark('substr(h.txt, h.start, h.len)')})"
     cut = f"substr({text}, greatest({begin} - 55, 1), {begin} + {size} + 55 - greatest({begin} - 55, 1))"
     return f"""
-rules(ord, rule_id, category, severity, weight, action) AS (VALUES {rows}),
-hits AS (SELECT e.message_id, e.ord, e.start, e.len, s.subject AS txt FROM english e JOIN sub s USING (message_id) UNION ALL SELECT message_id, ord, start, len, txt FROM abroad),
-findings AS (SELECT h.message_id, h.ord, r.rule_id, r.category, r.severity, r.weight, r.action, {t.clip(cut, 220)} AS evidence
+rules(ord, rule_id, category, severity, weight, action, note) AS (VALUES {rows}),
+hits AS (SELECT e.message_id, e.ord, e.start, e.len, s.subject AS txt FROM english e JOIN sub s USING (message_id){' UNION ALL SELECT message_id, ord, start, len, txt FROM abroad' if rules.languages else ''}),
+findings AS (SELECT h.message_id, h.ord, r.rule_id, r.category, r.severity, r.weight, r.action, r.note, {t.clip(cut, 220)} AS evidence
              FROM hits h JOIN rules r USING (ord) JOIN sub n USING (message_id))"""
 
 
-def all_ctes() -> str:
-    return ",\n".join((messages(), t.normal_ctes("messages"), subjects(), english().strip(), languages(), findings().strip()))
+def all_ctes(rules: RuleSet = BUILT_IN) -> str:
+    parts = [messages(), t.normal_ctes("messages"), subjects(), english(rules).strip()]
+    return ",\n".join([*parts, *([languages()] if rules.languages else []), findings(rules).strip()])
+
+
+def supplied() -> tuple[str, str]:
+    """The rules of the supplied table with their patterns put together here, and the name of the set.
+
+    Same word lists, written as one row of alternatives; the distances are those of marked text.
+    """
+    named: dict[str, list[str]] = {}
+    for name, word in LEXICONS:
+        named.setdefault(name, []).append(word)
+    rows = []
+    for rule_id, category, severity, weight, words, then_words, gap, either, same, guards, action, note in sorted(RULES, key=lambda r: r[0]):
+        first, second = (w(_spelled(x, named)) if x else None for x in (words, then_words))
+        body = first if second is None else near(first, gap, second, within=same) if either else then(first, (gap, second), within=same)
+        rows.append((Rule(rule_id, category, severity, weight, whole(body), action or "Verify independently before acting.", note), (guards or "").split()))
+    own = RuleSet(tuple(r for r, _ in rows), (), {g: frozenset(r.id for r, gs in rows if g in gs) for _, every in rows for g in every})
+    return all_ctes(own), own.fingerprint()
+
+
+def _spelled(words: str, named: dict[str, list[str]]) -> str:
+    return "|".join("|".join(sorted(named[x[1:]])) if x.startswith("@") else x for x in words.split("|"))
