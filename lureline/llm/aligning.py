@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lureline.llm.common import cut
-from lureline.llm.tokens import batches, encoder
+from lureline.llm.tokens import encoder, runs
 
 BLOCK = "block long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, shas array<string>, groups array<string>, links binary, pairs array<long>, times array<long>"
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
@@ -154,19 +154,18 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 4_000_0
             kinds = (pa.int64(), *[pa.list_(pa.int64())] * 5, *[pa.list_(pa.string())] * 2, pa.binary(), *[pa.list_(pa.int64())] * 2)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
-        for part in parts:
-            for run in batches(list(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)), lambda r: len(r[1] or ""), 250_000):
-                found = Aligned(of, [r[1] for r in run])
-                ids += [r[0] for r in run]
-                for into, own in zip(sizes, found.sizes, strict=True):
-                    into.append(own)
-                shas += found.shas
-                groups += found.groups if with_groups else []
-                pairs.append(found.pairs)
-                chars += sum(len(r[1] or "") for r in run)
-                if chars >= block_chars:
-                    yield closed()
-                    ids, sizes, shas, groups, pairs, chars, number = [], [[], [], [], []], [], [], [], 0, number + 1
+        for run in runs(parts, limit=250_000):
+            found = Aligned(of, [r[1] for r in run])
+            ids += [r[0] for r in run]
+            for into, own in zip(sizes, found.sizes, strict=True):
+                into.append(own)
+            shas += found.shas
+            groups += found.groups if with_groups else []
+            pairs.append(found.pairs)
+            chars += sum(len(r[1] or "") for r in run)
+            if chars >= block_chars:
+                yield closed()
+                ids, sizes, shas, groups, pairs, chars, number = [], [[], [], [], []], [], [], [], 0, number + 1
         if ids:
             yield closed()
 

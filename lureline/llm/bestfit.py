@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lureline.llm.common import cut
-from lureline.llm.tokens import batches, encoder
+from lureline.llm.tokens import encoder, runs
 
 PIECES = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long, ids binary"
 
@@ -106,21 +106,19 @@ def pieces(docs: DataFrame, path: str, length: int = 1024, end_id: int = 2) -> D
         from pyspark import TaskContext
 
         of, task, met = encoder(path), TaskContext.get().partitionId(), [0] * (length + 1)
-        for part in parts:
-            listed = list(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True))
-            for run in batches(listed, lambda r: len(r[1])):
-                out = []
-                for (doc, _), ids in zip(run, of.encode([r[1] for r in run]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    first = total % length or length
-                    edges = [0, *range(min(first, total), total, length), total]
-                    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                        own = ids[4 * a : 4 * b]
-                        out.append((task, doc, k, a, b - a, zlib.crc32(own), met[b - a], own))
-                        met[b - a] += 1
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        for run in runs(parts):
+            out = []
+            for (doc, _), ids in zip(run, of.encode([r[1] for r in run]), strict=True):
+                ids += end
+                total = len(ids) // 4
+                first = total % length or length
+                edges = [0, *range(min(first, total), total, length), total]
+                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    own = ids[4 * a : 4 * b]
+                    out.append((task, doc, k, a, b - a, zlib.crc32(own), met[b - a], own))
+                    met[b - a] += 1
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return cut(rows.mapInArrow(cut_up, PIECES))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lureline.llm.tokens import batches, encoder
+from lureline.llm.tokens import encoder, runs
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
@@ -45,7 +45,7 @@ def first_fit(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def pieces(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, group_docs: int = 16_384, with_ids: bool = True, seed: int = 17) -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, group_docs: int = 4_096, with_ids: bool = True, seed: int = 17) -> DataFrame:
     """Each document's ids and end id, cut every `length` ids, with the random group of documents it is packed in.
 
     The group is drawn from id and text; a row that is met again in a task is drawn anew with the task and the number of times, so that
@@ -63,19 +63,17 @@ def pieces(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, grou
 
         of, task, met = encoder(path), TaskContext.get().partitionId(), Counter()
         kinds = (*[pa.int64()] * 6, pa.binary())
-        for part in parts:
-            listed = list(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), part["drawn"].to_pylist(), strict=True))
-            for run in batches(listed, lambda r: len(r[1])):
-                out = []
-                for (doc, _, drawn), ids in zip(run, of.encode([r[1] for r in run]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    again, met[drawn] = met[drawn], met[drawn] + 1
-                    grp = (drawn + zlib.crc32(b"%d %d" % (task, again)) * (again > 0)) % groups
-                    for at in range(0, total, length):
-                        own = ids[4 * at : 4 * (at + length)]
-                        out.append((doc, at, len(own) // 4, zlib.crc32(own), total, grp, own if with_ids else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        for run in runs(parts):
+            out = []
+            for (doc, _, drawn), ids in zip(run, of.encode([r[1] for r in run]), strict=True):
+                ids += end
+                total = len(ids) // 4
+                again, met[drawn] = met[drawn], met[drawn] + 1
+                grp = (drawn + zlib.crc32(b"%d %d" % (task, again)) * (again > 0)) % groups
+                for at in range(0, total, length):
+                    own = ids[4 * at : 4 * (at + length)]
+                    out.append((doc, at, len(own) // 4, zlib.crc32(own), total, grp, own if with_ids else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return rows.mapInArrow(cut_up, PIECES)
 
@@ -103,7 +101,7 @@ def placed(group: pa.Table, length: int) -> pa.Table:
     return out.append_column("ids", group["ids"])
 
 
-def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, group_docs: int = 16_384, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, group_docs: int = 4_096, with_ids: bool = True) -> DataFrame:
     """Pieces with their sequence, their place in it and their ids.
 
     Each random group of about `group_docs` documents is packed by itself: a group is bounded however the sources or copies are spread,

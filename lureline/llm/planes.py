@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lureline.llm.tokens import batches, encoder
+from lureline.llm.tokens import encoder, runs
 
 SEGMENT = "file int, segment int, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, chunks array<struct<first:long,n:int,at:long,sizes:array<int>>>, planes string, data binary"
 
@@ -77,15 +77,14 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: i
             row = {"file": file, "segment": number, "first": first, "n_ids": n, "doc_ids": [d for d, _ in docs_in], "doc_tokens": [k for _, k in docs_in], "chunks": chunks, "planes": planes, "data": data}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("chunks", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int32()), ("at", pa.int64()), ("sizes", pa.list_(pa.int32()))]))), ("planes", pa.string()), ("data", pa.binary())]))
 
-        for part in parts:
-            for run in batches(list(zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)), lambda r: len(r[1])):
-                for (doc, _), ids in zip(run, of.encode([r[1] for r in run]), strict=True):
-                    held.append(ids + end)
-                    docs_in.append((doc, len(ids) // 4 + 1))
-                    n += len(ids) // 4 + 1
-                    if n >= segment:
-                        yield closed()
-                        docs_in, held, number, first, n = [], [], number + 1, first + n, 0
+        for run in runs(parts):
+            for (doc, _), ids in zip(run, of.encode([r[1] for r in run]), strict=True):
+                held.append(ids + end)
+                docs_in.append((doc, len(ids) // 4 + 1))
+                n += len(ids) // 4 + 1
+                if n >= segment:
+                    yield closed()
+                    docs_in, held, number, first, n = [], [], number + 1, first + n, 0
         if docs_in:
             yield closed()
 

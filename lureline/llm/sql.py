@@ -67,7 +67,7 @@ def neighbours(every: int = 100, k: int = 10) -> str:
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {k}"""
 
 
-def licences(file_words: int = 24, template_words: int = 8, cover: float = 0.6) -> str:
+def licences(template_words: int = 8, cover: float = 0.6) -> str:
     """The same method on rows: frequencies, postings, relative places, mandatory phrases."""
     lower = "lower(coalesce(text, ''))"
     notices = ", ".join(f"({t}, '{label}', '{words}')" for t, (label, words, _) in enumerate(TEMPLATES))
@@ -83,9 +83,9 @@ def licences(file_words: int = 24, template_words: int = 8, cover: float = 0.6)
     postings AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY idf DESC, place) AS nth FROM spread JOIN idf USING (w)),
     rare AS (SELECT * FROM postings WHERE nth <= {template_words}), totals AS (SELECT t, sum(idf) AS total FROM rare GROUP BY t),
     places AS (SELECT rid, unnest(range(len(w))) AS pos, unnest(w) AS w FROM near),
-    own AS (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, w) AS nth FROM (SELECT DISTINCT rid, w FROM places) JOIN idf USING (w)),
+    own AS (SELECT DISTINCT rid, w FROM places JOIN idf USING (w)),
     verified AS (SELECT rid, t FROM near, (VALUES {phrases}) p(t, phrase) GROUP BY rid, t HAVING bool_and(contains(joined, ' ' || phrase || ' '))),
-    masses AS (SELECT rid, r.t, r.label, pos - place AS spot, sum(idf) AS mass FROM places JOIN own USING (rid, w) JOIN rare r USING (w) JOIN verified v USING (rid, t) WHERE own.nth <= {file_words} GROUP BY ALL),
+    masses AS (SELECT rid, r.t, r.label, pos - place AS spot, sum(idf) AS mass FROM places JOIN own USING (rid, w) JOIN rare r USING (w) JOIN verified v USING (rid, t) GROUP BY ALL),
     labelled AS (SELECT rid, label, least(mass / total, 1.0) AS covered FROM masses JOIN totals USING (t) WHERE least(mass / total, 1.0) >= {cover}),
     found AS (SELECT rid, list(DISTINCT label) AS labels, max(covered) AS best FROM labelled GROUP BY rid),
     base_places AS (SELECT rid, label, i AS spot FROM (SELECT rid, w, label, string_split(phrase, ' ') AS p, unnest(range(len(w))) AS i FROM near, (VALUES {base}) b(phrase, label)) WHERE w[i + 1:i + len(p)] = p),

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept in each of two generations, and the longest piece kept: at most about 100 MB in each Python worker.
-KEPT, LONGEST = 200_000, 64
+#: Pieces kept in each of two generations, and the longest piece kept: about 60 MB in each Python worker.
+KEPT, LONGEST = 130_000, 64
 #: Pieces given to the library at once.
 _AT_ONCE = 4000
 #: A blank and letters: byte-level BPE never cuts these before its merges.
@@ -140,6 +145,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """One encoder in each Python worker: that of the tokenizer file used last."""
+    released()
     return Encoder(path, plain_specials)
 
 
@@ -154,3 +160,27 @@ def batches(rows: list, size, limit: int = 2_000_000):
             run, held = [], 0
     if run:
         yield run
+
+
+def runs(parts: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1_000_000) -> Iterator[list[tuple]]:
+    """The rows of record batches as tuples, in runs of about `limit` bytes of text: only a run at a time becomes Python objects.
+
+    At the end what the worker no longer needs goes back to the system, since idle workers live on beside those of later stages.
+    """
+    for part in parts:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(part[text]), 0).to_numpy())
+        at = 0
+        while at < part.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, "right")))
+            some = part.slice(at, to - at)
+            yield list(zip(*(c.to_pylist() for c in some.columns), strict=True))
+            at = to
+    released()
+
+
+def released() -> None:
+    """Give memory that is no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
