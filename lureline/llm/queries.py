@@ -71,7 +71,7 @@ def op7_licence_index(spark, d):
 
 @query
 def op8_sharding(spark, d):
-    return shards.shard(documents(spark, d), payload=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shards.shard(documents(spark, d)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 @query
