@@ -521,7 +521,8 @@ def s2_regression_diff(spark, d):
 
 @query
 def s3_missing_rules(spark, d):
-    expected = _messages(spark, d).where(F.col("expected_rule").isNotNull()).select("message_id", F.col("expected_rule").alias("rule_id"))
+    """Every message is held against the rule of its phrase; those without one, warnings among them, against a rule they must not meet."""
+    expected = _messages(spark, d).select("message_id", F.coalesce("expected_rule", F.lit("job_upfront_fee")).alias("rule_id"))
     return evaluate.missing_rules(expected, rules.findings_table(_scanned(spark, d)).select("message_id", "rule_id"))
 
 

@@ -69,6 +69,10 @@ PHRASES: tuple[tuple[str | None, ...], ...] = (
     ("உறுதியான லாபம் கிடைக்கும்.", None, None, None, None, None, "LK", "ta_guarantee"),
     ("Это обычное письмо о встрече в понедельник, деньги не нужны.", None, None, None, None, None, "RU", None),
     ("Send it to 1BoatSLRHtKNngkdXEeobR76b53LETtpyT or TJRabPrwbZy45sbavfcjinPJC18kjpRTv8, write @coin_desk.", "https://www.posb-help.com/claim", None, "posb.com.sg", "care@posb-help.com", None, "SG", None),
+    ("Notice: the account shows a negative balance due to bank charges, the direct debit was returned.", None, None, None, None, None, "SG", None),
+    ("The fund earned 12% a day at its best and 9% per year over the past five years; its track record is public.", None, None, None, None, None, "GB", None),
+    ("Candidates pay no training fee for the job, we cover the cost of the course.", None, "Brookmere Care", "brookmere.example", "post@brookmere.example", None, "IE", None),
+    ("Pay the training fee of the dance club at the door.", None, None, None, None, None, "DK", None),
 )
 
 # Turns: what is said at (conv_id * 5 + turn) modulo the length, so stages come in and out of order.

@@ -37,4 +37,4 @@ def write_results(scores: DataFrame, path: str) -> None:
 
 def write_table(rows: DataFrame, path: str) -> None:
     """A5: CSV with a header, every value quoted and a null apart from a blank, so that ``intake.table`` reads back what was written."""
-    rows.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', nullValue="\\N", emptyValue="").csv(path)
+    rows.write.mode("overwrite").options(header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', nullValue="\\N", emptyValue="").csv(path)

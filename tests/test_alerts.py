@@ -46,7 +46,7 @@ def test_late_turns_go_early_ones_count_and_idle_state_goes(spark, tmp_path, roc
         [(4, 0, SAID[5], "2026-01-01 23:00:00")],
         [(4, 1, SAID[5], "2026-01-01 23:01:00")],
     ], "alerts_late", late="10 minutes", idle_minutes=60)
-    of = {c: [r[1:] for r in rows if r[0] == c] for c in (1, 2, 3, 4)}
+    of = {c: sorted((r[1:] for r in rows if r[0] == c), key=lambda r: (r[4] == "idle", r[1])) for c in (1, 2, 3, 4)}
     assert [(r[1], r[2], r[4]) for r in of[1]] == [(10, "watch", "stage"), (16, "warn", "stage"), (16, "quiet", "idle")]
     assert of[2] == [] and of[4] == []
     assert [(r[2], r[4]) for r in of[3]] == [("watch", "stage"), ("quiet", "idle")]

@@ -52,7 +52,7 @@ def sql() -> dict[str, str]:
           count(*) FILTER (WHERE NOT scam AND risk_score >= {evaluate.FLAGGED}) AS flagged, count(*) FILTER (WHERE NOT scam AND risk_band IN ('High', 'Critical')) AS over_ceiling FROM ev GROUP BY lang""",
         "s2_regression_diff": f"""{evaluated}, ka AS (SELECT message_id FROM ev WHERE scam AND NOT crit), kb AS (SELECT message_id FROM ev WHERE scam AND risk_score < {evaluate.FLAGGED})
           SELECT message_id, 'fixed' AS state FROM ka WHERE message_id NOT IN (SELECT message_id FROM kb) UNION ALL SELECT message_id, 'new' FROM kb WHERE message_id NOT IN (SELECT message_id FROM ka)""",
-        "s3_missing_rules": f"WITH {rules_sql.all_ctes()} SELECT message_id, expected_rule AS rule_id FROM messages WHERE expected_rule IS NOT NULL AND (message_id, expected_rule) NOT IN (SELECT (message_id, rule_id) FROM findings)",
+        "s3_missing_rules": f"WITH {rules_sql.all_ctes()} SELECT message_id, coalesce(expected_rule, 'job_upfront_fee') AS rule_id FROM messages WHERE (message_id, coalesce(expected_rule, 'job_upfront_fee')) NOT IN (SELECT (message_id, rule_id) FROM findings)",
         "s5_variant_matrix": """SELECT item_id, v.n AS variant_no, sha256(CASE v.n WHEN 0 THEN text WHEN 1 THEN replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS') WHEN 2 THEN 'Good morning. ' || text WHEN 3 THEN text || ' Best wishes.' WHEN 4 THEN 'Visitor: ' || text ELSE '[08:15] Desk: ' || text END) AS text_sha256
           FROM benchmark, (VALUES (0), (1), (2), (3), (4), (5)) v(n)""",
         "t2_running_escalation": score_sql.conversations(),
