@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lureline.functions import taxonomy as x
 from lureline.functions.languageid import NAMES
+from lureline.functions.rows import settle
 from lureline.operators import checks, corpus, sampling
 from lureline.plans.messages import read
 
@@ -32,9 +33,13 @@ def variants(docs: DataFrame) -> DataFrame:
 
 def families(docs: DataFrame) -> DataFrame:
     """Each document in all its disguises, with the family and the split that follow from each text alone."""
-    every = F.explode(F.array(*map(F.lit, x.VARIANTS)))
-    said = docs.select("doc_id", "lang", "text", every.alias("variant_type")).withColumn("said", corpus.apply_variant(F.col("text"), F.col("variant_type"), F.col("lang")))
-    named = said.select("doc_id", "variant_type", corpus.family_key(F.col("text")).alias("own"), corpus.family_key(F.col("said")).alias("family"), (F.col("said") != F.col("text")).alias("disguised"))
+    own = settle(docs.select("doc_id", "lang", "text"), own=corpus.family_key(F.col("text")))
+    every = own.withColumn("variant_type", F.explode(F.array(*map(F.lit, x.VARIANTS))))
+    said = settle(every, said=corpus.apply_variant(F.col("text"), F.col("variant_type"), F.col("lang")))
+    # A text that a disguise leaves as it is keeps the key it has.
+    changed = F.col("said") != F.col("text")
+    named = settle(said, family=F.when(changed, corpus.family_key(F.col("said"))).otherwise(F.col("own")))
+    named = named.select("doc_id", "variant_type", "own", "family", changed.alias("disguised"))
     return named.withColumn("own_split", corpus.split_of(F.col("own"))).withColumn("split", corpus.split_of(F.col("family")))
 
 
