@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lureline.llm.common import cut, packed, row_key
 from lureline.llm.components import components
-from lureline.llm.tokens import batches
+from lureline.llm.tokens import forgotten, released, runs
 from lureline.llm.words import LOWER, mix64, shingle_sets
 
 CHUNKS, SYMBOLS, GROUPS = 10, 5, 64
@@ -57,11 +57,11 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for run in batches(list(zip(*(part[c].to_pylist() for c in ("rk", "doc_id", "text")), strict=True)), lambda r: len(r[2])):
-                sets = shingle_sets([r[2].encode().translate(LOWER) for r in run], width)
-                nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in run], pa.binary()), pa.array([r[1] for r in run], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["rk", "doc_id", "n_shingles", "node", "sig"])
+        forgotten()
+        for run in runs(parts):
+            sets = shingle_sets([r[2].encode().translate(LOWER) for r in run], width)
+            nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in run], pa.binary()), pa.array([r[1] for r in run], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["rk", "doc_id", "n_shingles", "node", "sig"])
 
     return rows.mapInArrow(sign, "rk binary, doc_id long, n_shingles long, node long, sig binary")
 
@@ -76,6 +76,7 @@ def keyed(classes: DataFrame) -> DataFrame:
                 for i in range(0, part.num_rows, 1000):
                     own = found[i : i + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part[c].to_numpy()[i : i + 1000], own.shape[1])) for c in ("node", "n")] + [pa.array(own.ravel())], names=["node", "n", "key"])
+        released()
 
     return classes.select("node", "n", "sig").mapInArrow(keys, "node long, n long, key long")
 
@@ -85,9 +86,8 @@ def set_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rk"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rk").select("node", "text")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for run in batches(list(zip(part["node"].to_pylist(), part["text"].to_pylist(), strict=True)), lambda r: len(r[1])):
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in run], pa.int64()), pa.array([s.view(np.int64) for s in shingle_sets([r[1].encode().translate(LOWER) for r in run], width)], pa.list_(pa.int64()))], names=["node", "shingles"])
+        for run in runs(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in run], pa.int64()), pa.array([s.view(np.int64) for s in shingle_sets([r[1].encode().translate(LOWER) for r in run], width)], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     # A repeated row gives its set twice; one is enough.
     return rows.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"])
