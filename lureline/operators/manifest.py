@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRANSIENT = (".tmp", ".partial", ".bak", ".pyc", ".zip")
+#: Bytes of a file that travel as one row.
+PIECE = 1 << 18
+#: Names whose files Spark's text reader would unpack; each of these is read whole.
+PACKED = r"(?i)\.(?:gz|bz2|deflate|snappy|lz4|zst|passthrough)$"
+_BOM = b"\xef\xbb\xbf"
 
 
 def included(path: Column) -> Column:
@@ -13,12 +24,80 @@ def included(path: Column) -> Column:
     return ~path.rlike(r"(?:^|/)(?:__pycache__(?:/|$)|\.(?!github(?:/|$))[^/]+)") & ~path.rlike(r"(?i)\.(?:tmp|partial|bak|pyc|zip)$")
 
 
-def build(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and hash of each file below a folder."""
+def _pieces(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Lines of a part of a file, one after the other, as pieces of `most` bytes at most, numbered in the part."""
+    held, place = None, 0
+    for part in parts:
+        if not part.num_rows:
+            continue
+        file, start, size, line = (part[c] for c in ("file", "start", "file_bytes", "line"))
+        ends = np.frombuffer(line.buffers()[1], np.int32)[line.offset : line.offset + part.num_rows + 1].tolist()
+        name, at = file.dictionary_encode().indices.to_numpy(), start.to_numpy()
+        new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (at[1:] != at[:-1])]).tolist()
+        for a, b in zip(new, [*new[1:], part.num_rows], strict=True):
+            own = file[a].as_py(), int(at[a])
+            held, place = own, place if own == held else 0
+            for k in range(ends[a], ends[b], most):
+                piece = line.buffers()[2].slice(k, min(most, ends[b] - k))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in (*own, place, size[a].as_py())), pa.array([piece.to_pybytes()], pa.binary())], names=["file", "start", "place", "file_bytes", "piece"])
+                place += 1
+
+
+def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each file from its pieces in order.
+
+    Every line has its end here. The reader does not say whether the file's last line has one, nor whether it left out a byte order mark;
+    the file's size does.
+    """
+    file, size, total, waiting, sums = None, 0, 0, b"", []
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        if file is not None:
+            ended, marked = total - size in (0, -len(_BOM)), total - size in (-len(_BOM), 1 - len(_BOM))
+            if total - size not in (0, 1, -len(_BOM), 1 - len(_BOM)):
+                raise ValueError(f"{file}: {total} bytes read of {size}")
+            own = sums[marked]
+            own.update(waiting if ended else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([own.hexdigest()])], names=["file", "sha256"])
+
+    for part in parts:
+        for i in range(part.num_rows):
+            piece = memoryview(part["piece"][i].as_buffer())
+            if (name := part["file"][i].as_py()) != file:
+                yield from closed()
+                file, size, total, waiting, sums = name, part["file_bytes"][i].as_py(), 0, b"", [hashlib.sha256(), hashlib.sha256(_BOM)]
+            total += len(piece)
+            last = len(piece) - (piece[-1] == 10)
+            for own in sums:
+                own.update(waiting)
+                own.update(piece[:last])
+            waiting = bytes(piece[last:])  # a line's end, until it is known whether it is the file's last sign
+    yield from closed()
+
+
+def _shown(root: str, path: Column) -> Column:
+    """A path below the root, without the store's name."""
+    at = F.regexp_replace(path, r"^[a-z]+:/+", "/")
+    return F.substring(at, F.lit(len(re.sub(r"^[a-z]+:/+", "/", root).rstrip("/")) + 2), F.length(at))
+
+
+def build(spark: SparkSession, root: str, piece: int = PIECE) -> DataFrame:
+    """Path, size and hash of each file below a folder.
+
+    A file is read in parts by many tasks, as lines of raw bytes, and hashed piece by piece in order, so no task holds it whole. Its hash is
+    one chain, which one task follows. Packed files (PACKED) are read whole, each by a task.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    relative = F.substring(at, F.lit(len(root.rstrip("/")) + 2), F.length(at))
-    return files.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")).where(included(F.col("path")))
+    file, packed = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").rlike(PACKED)
+    listed = files.select(_shown(root, F.col("path")).alias("path"), F.col("length").alias("size_bytes"), file).where(included(F.col("path")))
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root).where(~packed & included(_shown(root, F.col("_metadata.file_path"))))
+    line = F.concat(F.col("value").cast("binary"), F.lit(bytearray(b"\n")))
+    lines = lines.select(file, F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("file_bytes"), line.alias("line"))
+    pieces = lines.mapInArrow(lambda parts: _pieces(parts, piece), "file string, start long, place long, file_bytes long, piece binary")
+    sums = pieces.repartition("file").sortWithinPartitions("file", "start", "place").mapInArrow(_hashed, "file string, sha256 string")
+    whole = files.where(packed).select(file, F.sha2("content", 256).alias("sha256"))
+    empty = F.when(F.col("size_bytes") == len(_BOM), hashlib.sha256(_BOM).hexdigest())  # a mark alone is no line
+    return listed.join(sums.unionByName(whole), "file", "left").select("path", "size_bytes", F.coalesce("sha256", empty).alias("sha256"))
 
 
 def of_rows(rows: DataFrame, path: Column, content: Column) -> DataFrame:

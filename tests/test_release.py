@@ -30,6 +30,24 @@ def test_tree_of_a_manifest(spark):
     assert (nodes[""].files, nodes[""].bytes) == (3000, sum(range(3000)))
 
 
+def test_files_are_hashed_in_parts(spark, tmp_path):
+    noise = bytes((i * i // 7) % 256 for i in range(50_000))
+    held = {"noise.bin": noise, "lines.csv": b"a\r\nb\rc\n\n" * 3000, "open.txt": b"x\ny", "marked.csv": b"\xef\xbb\xbfa,b\n1,2\n", "marked open.csv": b"\xef\xbb\xbfa\n\nb", "mark": b"\xef\xbb\xbf", "two marks": b"\xef\xbb\xbf" * 2,
+            "end": b"\n", "ends": b"\n\n\n", "sub/packed.gz": b"no\ngz", "sub/one.parquet": noise[::-1].replace(b"\n", b""), "sub/left.tmp": b"x"}
+    for name, raw in held.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    kept = spark.conf.get("spark.sql.sources.binaryFile.maxLength"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # no file but the packed one may be read whole, and parts are small
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 7000)
+        got = {r.path: (r.size_bytes, r.sha256) for r in manifest.build(spark, str(tmp_path), 1000).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", kept[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[1])
+    assert got == {n: (len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in held.items() if not n.endswith(".tmp")}
+
+
 def test_trees_differ_where_files_do(spark):
     old = rows(500)
     new = [*old[3:], ("new.txt", 1, "x")]
