@@ -134,3 +134,27 @@ def test_a_floor_of_bins_only_meets_a_distance_of_zero(spark):
     got = {r.lang: (r.low, r.high) for r in perplexity.bands(spark.createDataFrame(rows, "lang string, base_failed boolean, log_perplexity double"), least=perplexity.BINS).collect()}
     assert got["en"][1] - got["en"][0] == pytest.approx(7 * 0.04, abs=1e-6)
     assert got["de"][1] - got["de"][0] == pytest.approx(6 * perplexity.BINS, abs=1e-6)
+
+
+def test_no_character_beyond_ascii_is_folded_into_another(spark):
+    for a, b in (("日", chr(ord("日") + 29)), ("é", chr(ord("é") + 29)), ("😀", chr(ord("😀") + 29)), ("я", "җ"), ("=", "~")):
+        assert len(set(perplexity.numbered([a + b])[1].tolist())) == 2
+    text = "".join(chr(0x10000 + 7 * i % 90_000) for i in range(150_000)) + "aB1"  # more symbols than one number holds four of
+    context, last, times, which, sizes = perplexity.numbered([text, "", "ab2"])
+    (every, ends), _ = perplexity.grams([text, "", "ab2"])
+    assert len({*zip(context.tolist(), last.tolist(), strict=True)}) == len(last) and times.sum() == len(ends) and sizes.tolist() == [150_003, 0, 3]
+    assert np.array_equal(context[which], every) and np.array_equal(last[which], ends)
+    words = ["aб", "вг", "де", "жз", "ий"]
+    mixed = [(i, " ".join(words[(i * 7 + k * k) % 5] for k in range(60)), "ru") for i in range(12)] + [(99, "日本語のテキスト😀 " * 60, "ja")]
+    compare(spark.createDataFrame(mixed, "doc_id long, text string, lang string"), mixed)
+
+
+def test_blocks_of_texts_meet_the_model_with_the_same_result(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def rows():
+        return {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in perplexity.judged(df).collect()}
+
+    want = rows()
+    monkeypatch.setattr(perplexity, "BLOCK", 2000)
+    assert rows() == want
