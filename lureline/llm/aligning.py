@@ -169,7 +169,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_chars: int = 4_000_0
         if ids:
             yield closed()
 
-    return cut(rows.mapInArrow(each, BLOCK))
+    return cut(rows.mapInArrow(each, BLOCK), group_rows=2)  # about 10 MB each
 
 
 def block_pairs(held: DataFrame) -> DataFrame:

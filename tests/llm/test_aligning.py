@@ -113,3 +113,13 @@ def test_a_row_repeated_for_most_of_the_table(spark):
 def test_query_on_given_documents(spark):
     want, _ = by_hand(edge.documents())
     assert sorted(map(tuple, queries.QUERIES["op12_interval_coalescing"](spark, "/root/testdata/sf0.001").collect())) == sorted(want)
+
+
+def test_few_blocks_share_a_row_group(spark):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"text number {i} " * 20_000) for i in range(7)], "doc_id long, text string").coalesce(1)
+    held = aligning.blocks(docs, A, B, block_chars=500)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in held.inputFiles()]
+    assert sum(m.num_rows for m in files) == 7  # a block holds megabytes; Parquet alone would keep 100 of them before it looks at their size
+    assert max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= 2
