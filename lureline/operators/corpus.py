@@ -53,8 +53,11 @@ def apply_variant(text: Column, variant: Column, language: Column) -> Column:
 def family_key(text: Column) -> Column:
     """Names a text whatever its disguise: links written out, invisible signs and compatibility forms undone, then only letters and
     digits, lower-cased. Spaced letters and changed punctuation leave no trace in it. Texts without letters or digits go by themselves."""
-    plain = F.regexp_replace(F.lower(t.refang(t.strip_invisible(t.fold_compat(t.plain_urls(text))))), r"[^\pL\pN]+", "")
-    return F.sha2(F.when(plain != "", plain).otherwise(text), 256)
+    plain = text
+    for step in (t.plain_urls, t.fold_compat, t.strip_invisible, t.refang):
+        plain = let(plain, step)  # a step asks for its text more than once, which would run the steps before it as often
+    plain = F.regexp_replace(F.lower(plain), r"[^\pL\pN]+", "")
+    return let(plain, lambda p: F.sha2(F.when(p != "", p).otherwise(text), 256))
 
 
 def plan(numbers: DataFrame, number: str = "number") -> DataFrame:

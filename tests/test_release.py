@@ -64,6 +64,11 @@ def test_records_of_a_table(spark):
     assert got == [(str(k), len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for k, t in ((1, "héllo"), (2, None), (3, ""))]
 
 
+def test_a_family_key_runs_each_of_its_steps_once(spark):
+    plan = spark.range(1).select(corpus.family_key(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("hxxps://") <= 2 and len(plan) < 100_000
+
+
 def test_disguises_stay_in_their_family(spark):
     texts = ["Pay the fee: see https://case.invalid/x now. Then the deposit — profit! Really? Payment.", "Ein Text: mit Zeichen! Und mehr. Ja?", "...", "12 fee 34", "A. B. C"]
     docs = spark.createDataFrame([(i, "en" if i % 2 == 0 else "de", x) for i, x in enumerate(texts)], "doc_id long, lang string, text string")
