@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lureline.functions import charmaps as cm
 from lureline.functions import text as t
-from lureline.operators import links
+from lureline.operators import links, rules
 from lureline.operators import normalize as nz
 
 SAMPLES = ["", "plain words", "a b c", "word a word b c d", "x y zz", "aa b c", "_a b c", "a b c_", "1 2 3 4", "a  b c", "q\ta b", "(a b c)", "xa b c", "a b", " a b ", "a\tb c d", "é a b c é", "v i s a", "p4y", "12h", "a1", "4you", "w0rk", "te1egram p@y", "RETRN", "P4Y me", "xp4y", "4 u", "reTRN it", "returns", "a—b", "a‐b c", "wallet 0x" + "aB" * 20, "0x" + "a" * 41, "_0x" + "a" * 40,
@@ -52,3 +52,14 @@ def test_signals_that_nobody_reads_are_not_in_the_plan(spark):
     assert set(full.columns) - set(short.columns) == {"transformations", "unicode_signals"}
     assert full.select("normalized", "skeleton").collect() == short.select("normalized", "skeleton").collect()
     assert "look-alike characters" not in short.select("normalized")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_are_cut_where_a_shape_is_open(spark):
+    rows = [(1, "Hola, nos vemos el lunes en la oficina y hablamos de la obra del puente con los vecinos."), (2, "El trabajo es suyo, pero debe pagar la tasa de 150 EUR por la oferta de empleo antes de empezar.")]
+    out = rules.scan(nz.normalize(spark.createDataFrame(rows, "message_id long, text string"), signals=False), languages=("es",))
+    got = {r.message_id: len(r.findings) for r in out.select("message_id", "findings").collect()}
+    assert got[1] == 0 and got[2] >= 1
+    tests = rules._any_possible(["es"], "folded", "_words")
+    words = rules.opened(rules.t.mark_words(F.lower("text")), rules.lang.all_openings(("es",)))
+    asked = spark.createDataFrame(rows, "message_id long, text string").select("message_id", rules.t.mark_words(F.lower("text")).alias("folded"), words.alias("_words"), F.lit(True).alias("_is_es"))
+    assert {r.message_id for r in asked.where(F.expr(tests)).collect()} == {2}
